@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, substring, token_records
+from . import decontaminate, mixing, near_duplicates, quality, substring, token_records
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs, keep_text=False).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates.classes(_table(spark, sf_dir, "documents"))
+    plain = lambda c: F.when(F.col(c) != near_duplicates.NO_ID, F.col(c))
+    return found.select(plain("id").alias("doc_id"), plain("root.id").alias("class_id"), plain("rep.id").alias("rep_id"), F.col("copies").alias("n_copies"), F.col("links").alias("n_links"))
+
+
 def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.write_and_digest(_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -46,6 +52,6 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs, keep_text=False).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op3_quality_rules, op5_token_records, op6_mix_sources)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op3_quality_rules, op4_jaccard_join, op5_token_records, op6_mix_sources)}
 
 ORACLES: dict[str, str] = {}
