@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, mixing, near_duplicates, quality, substring, token_counts, token_records, toxicity
+from . import decontaminate, fuzzy_lines, html_text, mixing, near_duplicates, quality, substring, token_counts, token_records, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (toxicity.fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
 
 
+def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fuzzy_lines.deduplicated(docs).select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = html_text.extracted(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), keep_html=False)
     return pages.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
@@ -69,6 +74,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(docs, tokenizer_path("piece_bpe_32k.model"), keep_text=False).select("doc_id", "n_tokens")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op3_quality_rules, op4_jaccard_join, op5_token_records, op6_mix_sources, op7_toxicity, op9_html_text, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op3_quality_rules, op4_jaccard_join, op5_token_records, op6_mix_sources, op7_toxicity, op8_fuzzy_lines, op9_html_text, op10_token_counts)}
 
 ORACLES: dict[str, str] = {}

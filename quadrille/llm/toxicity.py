@@ -25,7 +25,9 @@ from .text import chunks, words
 BITS = 18
 #: Most labelled rows that are fitted on, taken by least hash of the key.
 SAMPLE_ROWS = 20_000
-L1, SWAP_PENALTY, STEPS = 3e-4, 0.5, 200
+L1, SWAP_PENALTY, STEPS = 3e-5, 0.5, 600
+#: Standard errors by which a word's share must differ between the classes.
+LEAST_Z = 4.0
 FOLDS = 5
 
 #: Terms that name groups, by kind; the first of each kind is neutral.
@@ -82,15 +84,27 @@ def counterfactuals(doc: np.ndarray, feature: np.ndarray, bits: int = BITS) -> d
     return found
 
 
+def told_apart(labels: np.ndarray, doc: np.ndarray, feature: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Which words stand in one class's texts more often than chance allows: by the score of a two-sample test of shares."""
+    size, n, toxic = 1 << bits, len(labels), labels.sum()
+    all_, bad = np.bincount(feature, minlength=size), np.bincount(feature, labels[doc], size)
+    share = all_ / n
+    spread = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / toxic + 1 / (n - toxic)))
+    z = (bad / toxic - (all_ - bad) / (n - toxic)) / spread
+    return (all_ >= 3) & (np.abs(z) >= LEAST_Z)
+
+
 def fit(labels: np.ndarray, doc: np.ndarray, feature: np.ndarray, *, l1: float = L1, swap: float = SWAP_PENALTY, steps: int = STEPS, bits: int = BITS) -> Model:
     """Rows of one class only, or none, give a model of the bias alone."""
     size, n = 1 << bits, len(labels)
     rate = labels.mean() if n else 0.0
     if not 0 < rate < 1:
         return Model(np.zeros(size), float(np.log((rate * n + 0.5) / (n - rate * n + 0.5))))
-    # Words of one or two documents tell nothing that carries over.
-    seen = np.bincount(feature, minlength=size) >= min(3, n)
-    keep = seen[feature]
+    # Words whose presence differs between the classes by more than chance, with terms that name groups.
+    named = [feature_of(t, bits) for terms in IDENTITIES.values() for t in terms]
+    chosen = told_apart(labels, doc, feature, bits)
+    chosen[named] = True
+    keep = chosen[feature]
     doc, feature = doc[keep], feature[keep]
     columns, local = np.unique(feature, return_inverse=True)
     swaps = counterfactuals(doc, feature, bits)
@@ -98,20 +112,18 @@ def fit(labels: np.ndarray, doc: np.ndarray, feature: np.ndarray, *, l1: float =
     pairs = [(place[a], place[b], m) for (a, b), m in swaps.items() if a in place and b in place]
     lone = [(place[a], m) for (a, b), m in swaps.items() if a in place and b not in place]
     w, bias = np.zeros(len(columns)), float(np.log(rate / (1 - rate)))
-    # Common words differ from document to document in number, not in kind: columns are scaled by how rare they are.
-    scale = 1 / np.sqrt(np.maximum(np.bincount(local, minlength=len(columns)) / n, 10 / n))
-    lipschitz = 0.25 * np.mean(np.bincount(doc, scale[local] ** 2, n)) + 4 * swap
+    lipschitz = 0.25 * (1 + np.mean(np.bincount(doc, minlength=n))) + 4 * swap
     y, momentum, before = w.copy(), 1.0, w.copy()
     for _ in range(steps):
-        z = bias + np.bincount(doc, (y * scale)[local], n)
+        z = bias + np.bincount(doc, y[local], n)
         p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-        g = np.bincount(local, ((p - labels) / n)[doc], len(columns)) * scale
+        g = np.bincount(local, ((p - labels) / n)[doc], len(columns))
         for a, b, m in pairs:
-            d = 2 * swap * m / n * (y[a] * scale[a] - y[b] * scale[b])
-            g[a] += d * scale[a]
-            g[b] -= d * scale[b]
+            d = 2 * swap * m / n * (y[a] - y[b])
+            g[a] += d
+            g[b] -= d
         for a, m in lone:
-            g[a] += 2 * swap * m / n * y[a] * scale[a] ** 2
+            g[a] += 2 * swap * m / n * y[a]
         bias -= (p - labels).mean() * 2
         step = y - g / lipschitz
         w = np.sign(step) * np.maximum(np.abs(step) - l1 / lipschitz, 0)
@@ -119,7 +131,7 @@ def fit(labels: np.ndarray, doc: np.ndarray, feature: np.ndarray, *, l1: float =
         y = w + (momentum - 1) / after * (w - before)
         momentum, before = after, w.copy()
     weights = np.zeros(size)
-    weights[columns] = w * scale
+    weights[columns] = w
     return Model(weights, float(bias))
 
 
