@@ -93,14 +93,15 @@ def _marks(phrase: DataFrame) -> DataFrame:
 
     A phrase of an anchor with several phrases is looked up once, in its first document, for all that equal it.
     """
-    whole = phrase.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "k")).alias("at"))
+    place = F.xxhash64("id", "th", "k")
+    whole = phrase.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(place).alias("place"))
     whole = materialise(whole, "rlz-phrases")
-    several = materialise(whole.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor"), "rlz-anchors")
-    parts = whole.join(several, "anchor", "left_semi").select("at.*")
-    repeated = materialise(whole.where("n > 1").select("anchor", "content"), "rlz-repeated")
-    found = phrase.join(repeated, ["anchor", "content"], "left_semi").select("id", "th", "k", F.lit(True).alias("found"))
-    marks = found.unionByName(parts.select("id", "th", "k", F.lit(False).alias("found")))
-    return marks.groupBy("id", "th").agg(F.collect_set(F.when(F.col("found"), F.col("k"))).alias("found"), F.collect_set(F.when(~F.col("found"), F.col("k"))).alias("lookup"))
+    several = materialise(whole.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor", F.lit(True).alias("several")), "rlz-anchors")
+    wanted = whole.join(several, "anchor", "left").where("n > 1 OR several")
+    wanted = materialise(wanted.select("anchor", "content", (F.col("n") > 1).alias("found"), F.when(F.col("several"), F.col("place")).alias("place")), "rlz-wanted")
+    marks = phrase.join(wanted, ["anchor", "content"]).select("id", "th", "k", "found", F.coalesce(place == F.col("place"), F.lit(False)).alias("lookup"))
+    marks = marks.where("found OR lookup")
+    return marks.groupBy("id", "th").agg(F.collect_set(F.when(F.col("found"), F.col("k"))).alias("found"), F.collect_set(F.when(F.col("lookup"), F.col("k"))).alias("lookup"))
 
 
 def _parse(raw: bytes, w_start: np.ndarray, w_end: np.ndarray, held: np.ndarray, window: int) -> tuple[int, list[tuple[int, int]], bytes]:
