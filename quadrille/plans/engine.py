@@ -92,7 +92,7 @@ def instantiate(rel: Rel, template: list) -> DataFrame:
         graph = F.lit(None).cast("string") if g is None else F.lit(g[1]) if g[0] == "iri" else rel.col(g[1])["lex"] if g[1] in rel.names else F.lit("")
         needs = F.lit(True) if g is None or g[0] == "iri" else (rel.col(g[1])["k"] == t.IRI) if g[1] in rel.names else F.lit(False)
         a, b, c = (template_row(rel, x, row) for x in (s, p, o))
-        ok = needs & a["k"].isin(t.BNODE, t.IRI) & (b["k"] == t.IRI) & c.isNotNull()
+        ok = needs & a["k"].isin(t.BNODE, t.IRI, t.TRIPLE) & (b["k"] == t.IRI) & c.isNotNull()
         made.append(F.when(ok, F.struct(graph.alias("g"), a.alias("s"), b["lex"].alias("p"), c.alias("o"))))
     return rel.df.select(F.explode(F.array(*made)).alias("q")).where("q IS NOT NULL").select("q.*")
 
