@@ -109,30 +109,32 @@ def fit(labels: np.ndarray, doc: np.ndarray, feature: np.ndarray, *, l1: float =
     columns, local = np.unique(feature, return_inverse=True)
     swaps = counterfactuals(doc, feature, bits)
     place = {int(c): i for i, c in enumerate(columns)}
-    pairs = [(place[a], place[b], m) for (a, b), m in swaps.items() if a in place and b in place]
-    lone = [(place[a], m) for (a, b), m in swaps.items() if a in place and b not in place]
-    w, bias = np.zeros(len(columns)), float(np.log(rate / (1 - rate)))
-    lipschitz = 0.25 * (1 + np.mean(np.bincount(doc, minlength=n))) + 4 * swap
+    pairs = [(place[a], place[b], k) for (a, b), k in swaps.items() if a in place and b in place]
+    lone = [(place[a], k) for (a, b), k in swaps.items() if a in place and b not in place]
+    m = len(columns)
+    # The last coordinate is the bias, which takes no penalty. The bound on the curvature is a trace, so it holds always.
+    w = np.append(np.zeros(m), np.log(rate / (1 - rate)))
+    bound = 0.25 * (1 + np.mean(np.bincount(doc, minlength=n))) + 2 * swap / n * (2 * sum(k for *_, k in pairs) + sum(k for _, k in lone))
+    penalty = np.append(np.full(m, l1 / bound), 0.0)
     y, momentum, before = w.copy(), 1.0, w.copy()
     for _ in range(steps):
-        z = bias + np.bincount(doc, y[local], n)
-        p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-        g = np.bincount(local, ((p - labels) / n)[doc], len(columns))
-        for a, b, m in pairs:
-            d = 2 * swap * m / n * (y[a] - y[b])
+        z = y[m] + np.bincount(doc, y[local], n)
+        error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - labels) / n
+        g = np.append(np.bincount(local, error[doc], m), error.sum())
+        for a, b, k in pairs:
+            d = 2 * swap * k / n * (y[a] - y[b])
             g[a] += d
             g[b] -= d
-        for a, m in lone:
-            g[a] += 2 * swap * m / n * y[a]
-        bias -= (p - labels).mean() * 2
-        step = y - g / lipschitz
-        w = np.sign(step) * np.maximum(np.abs(step) - l1 / lipschitz, 0)
+        for a, k in lone:
+            g[a] += 2 * swap * k / n * y[a]
+        step = y - g / bound
+        w = np.sign(step) * np.maximum(np.abs(step) - penalty, 0)
         after = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         y = w + (momentum - 1) / after * (w - before)
-        momentum, before = after, w.copy()
+        momentum, before = after, w
     weights = np.zeros(size)
-    weights[columns] = w
-    return Model(weights, float(bias))
+    weights[columns] = w[:m]
+    return Model(weights, float(w[m]))
 
 
 def fold(key: Column) -> Column:
