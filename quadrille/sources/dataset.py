@@ -36,12 +36,12 @@ def empty_quads(spark: SparkSession) -> DataFrame:
 class TableDataset(Dataset):
     """Quads computed from tables; a constant predicate reads only the columns it is made of."""
 
-    def __init__(self, spark: SparkSession, parts: dict[str, list[Callable[[], DataFrame]]]):
-        self.spark, self.parts, self.graphs = spark, parts, frozenset()
+    def __init__(self, spark: SparkSession, parts: dict[str, list[Callable[[], DataFrame]]], whole: list[Callable[[], DataFrame]]):
+        """parts: by predicate; whole: all quads of one table each, made in one pass over its rows."""
+        self.spark, self.parts, self.whole, self.graphs = spark, parts, whole, frozenset()
 
     def scan(self, predicate: str | None = None) -> DataFrame:
-        chosen = self.parts.get(predicate, []) if predicate is not None else [f for fs in self.parts.values() for f in fs]
-        frames = [f() for f in chosen]
+        frames = [f() for f in (self.parts.get(predicate, []) if predicate is not None else self.whole)]
         return reduce(DataFrame.union, frames) if frames else empty_quads(self.spark)
 
     @property
@@ -85,6 +85,7 @@ def table_dataset(spark: SparkSession, sf_dir: str, tables: list[str] | None = N
     their region by rdfs:subClassOf, and turns of a conversation to the next turn by urn:t/next.
     """
     parts: dict[str, list[Callable[[], DataFrame]]] = {}
+    whole: list[Callable[[], DataFrame]] = []
 
     def add(predicate: str, make: Callable[[], DataFrame]) -> None:
         parts.setdefault(predicate, []).append(make)
@@ -101,13 +102,17 @@ def table_dataset(spark: SparkSession, sf_dir: str, tables: list[str] | None = N
             rows = df if where is None else df.where(where)
             return rows.select(graph.alias("g"), subject.alias("s"), F.lit(p).alias("p"), o.alias("o"))
 
+        pairs: list[tuple[str, Column]] = []
         if table != "labels":
+            pairs.append((RDF + "type", t.iri(f"{BASE}{name.capitalize()}")))
             add(RDF + "type", lambda q=quads, n=name: q(RDF + "type", t.iri(f"{BASE}{n.capitalize()}")))
         for c in df.columns:
             lang = "lang" if (table, c) == ("documents", "text") else None
             predicate = f"{BASE}{c}"
+            pairs.append((predicate, F.when(F.col(c).isNotNull(), _object(df, c, lang))))
             add(predicate, lambda q=quads, p=predicate, o=_object(df, c, lang), c=c: q(p, o, F.col(c).isNotNull()))
         if table == "nation":
+            pairs.append((RDFS + "subClassOf", t.iri(F.concat(F.lit(f"{BASE}region/"), F.col("n_regionkey").cast("string")))))
             up = t.iri(F.concat(F.lit(f"{BASE}region/"), F.col("n_regionkey").cast("string")))
             add(RDFS + "subClassOf", lambda q=quads, o=up: q(RDFS + "subClassOf", o))
         if table == "conversations":
@@ -121,4 +126,12 @@ def table_dataset(spark: SparkSession, sf_dir: str, tables: list[str] | None = N
                 return rows.select(F.lit(None).cast("string").alias("g"), node("turn").alias("s"), F.lit(f"{BASE}next").alias("p"), node("after").alias("o"))
 
             add(f"{BASE}next", chain)
-    return TableDataset(spark, parts)
+            whole.append(chain)
+
+        def all_(df=df, subject=subject, graph=graph, pairs=pairs) -> DataFrame:
+            each = F.array(*(F.struct(F.lit(p).alias("p"), o.alias("o")) for p, o in pairs))
+            rows = df.select(graph.alias("g"), subject.alias("s"), F.explode(each).alias("x"))
+            return rows.select("g", "s", "x.p", "x.o").where("o IS NOT NULL")
+
+        whole.append(all_)
+    return TableDataset(spark, parts, whole)
