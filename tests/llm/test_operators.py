@@ -1,7 +1,6 @@
 """Corpus operators against brute force, with nulls, empty and long texts, repeats, empty tables and clashing columns."""
 
 import hashlib
-import json
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -143,12 +142,11 @@ def test_near_duplicates(docs, rows, node_rows):
     assert links[11] == links[14] == links[12] == 1 and links[10] == 0
 
 
-def test_near_duplicates_keep_one(docs, spark):
+def test_near_duplicates_keep_one(docs, rows):
     kept = near_duplicates.one_of_each(docs)
     assert kept.columns == docs.columns
-    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([1, 4, 5, 7, 8, 9, 10, 11, None, 13]) or True
-    ids = {r["doc_id"] for r in kept.collect()}
-    assert {7, 8, 9, 10, 11, 13, None} <= ids and not ids & {6, 12, 14}
+    roots = _jaccard_classes(rows)
+    assert sorted(map(repr, (r["doc_id"] for r in kept.collect()))) == sorted(map(repr, set(roots.values())))
     assert near_duplicates.one_of_each(docs.limit(0)).count() == 0
 
 
@@ -189,7 +187,7 @@ def test_mixing(docs, rows, spark):
     again = mixing.mixed(docs.repartition(5)).collect()
     assert sorted((repr(r["doc_id"]), r["copies"]) for r in again) == sorted((repr(r["doc_id"]), r["copies"]) for r in found)
     assert mixing.mixed(docs.limit(0)).count() == 0
-    assert mixing.capped_targets([("a", 10), ("b", 1), ("c", 0)]) == {"a": 8.0, "b": 3.0, "c": 0.0} or True
+    assert mixing.capped_targets([("a", 10), ("b", 1), ("c", 0)]) == {"a": 8.0, "b": 3.0, "c": 0.0}
 
 
 def test_toxicity(spark):
@@ -258,7 +256,7 @@ def test_token_counts(spark, docs, rows):
     own = Tokenizer(models.Unigram([("▁", -1.0), ("a", -1.0), ("aa", -2.0), ("▁a", -2.0)], None, False))
     own.pre_tokenizer = t.pre_tokenizer
     assert [tie.count("a" * n) for n in range(1, 6)] == [len(own.encode("a" * n).ids) for n in range(1, 6)]
-    assert json.dumps(tie.count("")) == "0"
+    assert tie.count("") == 0
 
 
 def test_pipeline(spark, docs, tmp_path):
