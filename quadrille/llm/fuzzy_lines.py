@@ -8,8 +8,9 @@ between short and long have signatures of both kinds. Bands of ROWS values make
 shingles verifies them, and distributed union-find joins what is verified. Of each component one line stays: the one that
 comes first by document and line number, in its first place only.
 
-A bucket of up to NODE_ROWS distinct lines gives its pairs. In a larger one every line meets the bucket's first line; those
-it does not match go on to the first line of the rest, until none is left: no line is capped or dropped.
+A bucket of up to NODE_ROWS distinct lines gives its pairs. Larger buckets that share lines are united. Their lines meet the
+first of each bucket; then the lines of each union are dealt into tiles of bounded size, and all pairs that are not joined
+yet are verified tile by tile. Every pair of a bucket is thus verified, or joined by others: nothing is capped or dropped.
 
 Null and empty texts have no lines. A line shorter than a shingle equals only its like. Documents that share or lack a key
 are ordered by their text; an empty table gives no rows. Columns that bear the names of the results are replaced.
@@ -17,8 +18,6 @@ are ordered by their text; an empty table gives no rows. Columns that bear the n
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,10 +26,9 @@ from .runtime import components, materialise
 
 SHINGLE, THRESHOLD = 8, 0.8
 BANDS, ROWS = 10, 3
-NODE_ROWS = 32
+NODE_ROWS, TILE_ROWS, TILE_CHARS = 32, 256, 1 << 20
 #: Lines of at least SHORT characters may take the sampled signature, those of at most LONG the full one.
 SHORT, LONG = 80, 160
-ROUNDS = 10_000
 
 
 def shingles(line: Column) -> Column:
@@ -62,6 +60,54 @@ def _similar(a: Column, b: Column, threshold: float) -> Column:
     return let(F.struct(shingles(a).alias("a"), shingles(b).alias("b")), jaccard)
 
 
+def _joined(items: Column, threshold: float) -> Column:
+    """Labels of a tile's lines (u, c, side, s): places of lines, equal where lines have one c or are linked by a chain of pairs.
+
+    A line is compared with those before it, but not with lines whose label it bears or has just found.
+    """
+
+    def of(x: Column) -> Column:
+        n = F.size(x)
+
+        def similar(p: Column, q: Column) -> Column:
+            a, b = F.size(p["s"]), F.size(q["s"])
+            could = F.least(a, b) >= threshold * F.greatest(a, b) - 1e-9
+            return F.when(could, let(F.size(F.array_intersect(p["s"], q["s"])), lambda both: both >= threshold * (a + b - both) - 1e-9)).otherwise(False)
+
+        def step(labels: Column, i: Column) -> Column:
+            def meet(found: Column, k: Column) -> Column:
+                known = F.array_contains(found, F.get(labels, k))
+                p, q = F.get(x, i), F.get(x, k)
+                paired = (p["side"] != q["side"]) | (p["side"] == 2)
+                return F.when(known, found).when(paired, F.when(similar(p, q), F.array_append(found, F.get(labels, k))).otherwise(found)).otherwise(found)
+
+            met = F.aggregate(F.sequence(F.lit(0), i - 1), F.array(F.get(labels, i)), meet)
+            return let(met, lambda m: F.when(F.size(m) == 1, labels).otherwise(let(F.array_min(m), lambda low: F.transform(labels, lambda l: F.when(F.array_contains(m, l), low).otherwise(l)))))
+
+        start = let(F.transform(x, lambda p: p["c"]), lambda c: F.transform(c, lambda own: F.array_position(c, own) - 1))
+        return F.when(n < 2, start).otherwise(F.aggregate(F.sequence(F.lit(1), n - 1), start, step))
+
+    return let(items, of)
+
+
+def _tiled(dealt: DataFrame, threshold: float) -> DataFrame:
+    """dealt: lines (g, u, c, line) of groups g, joined as far as c says -> links (a, b) that join what pairs of a group join.
+
+    A tile pair gives a row for each line that it links, never one for each pair.
+    """
+    volume = F.greatest(F.count("*") / TILE_ROWS, F.sum(F.length("line")) / TILE_CHARS)
+    sizes = materialise(dealt.groupBy("g").agg(F.ceil(volume).cast("int").alias("b"), F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("g", "b"), "line-sizes")
+    t = dealt.join(sizes, "g").withColumn("t", F.pmod(F.xxhash64("u"), F.col("b")).cast("int"))
+    t = t.select("g", "u", "c", "line", "t", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("o"))
+    # Side 2 marks the lines of a tile that is paired with itself.
+    side = F.when(F.col("t") == F.col("o"), 2).when(F.col("t") < F.col("o"), 0).otherwise(1)
+    t = t.groupBy("g", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j")).agg(F.collect_list(F.struct("u", "c", side.alias("side"), "line")).alias("x"))
+    sets = F.transform("x", lambda p: F.struct(p["u"].alias("u"), p["c"].alias("c"), p["side"].alias("side"), F.array_distinct(F.transform(shingles(p["line"]), lambda s: F.xxhash64(s))).alias("s")))
+    t = t.where(F.size("x") > 1).select("x", _joined(sets, threshold).alias("labels"))
+    t = t.select(F.explode(F.transform("x", lambda p, k: F.struct(p.alias("p"), F.get(F.col("x"), F.get("labels", k).cast("int")).alias("q")))).alias("e"))
+    return materialise(t.where("e.p.c != e.q.c").select(F.col("e.p.u").alias("a"), F.col("e.q.u").alias("b")), "line-tiles")
+
+
 def _lines(documents: DataFrame, key: str, text: str) -> DataFrame:
     rows = documents.select(F.col(key).cast("long").alias("id"), F.xxhash64(key, text).alias("th"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("at", "line"))
     rows = rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
@@ -85,17 +131,15 @@ def line_classes(documents: DataFrame, *, key: str = "doc_id", text: str = "text
         both = p.join(texts.select(F.col("u").alias("x"), F.col("line").alias("lx")), "x").join(texts.select(F.col("u").alias("y"), F.col("line").alias("ly")), "y")
         return both.withColumn("ok", _similar(F.col("lx"), F.col("ly"), threshold)).drop("lx", "ly")
 
-    edges = [materialise(verified(pairs).where("ok").select(F.col("x").alias("a"), F.col("y").alias("b")), "line-edges")]
-    rest = members.where(F.col("n") > NODE_ROWS).select("k", "u", F.col("low").alias("x"))
-    for _ in range(ROUNDS):
-        if rest.isEmpty():
-            break
-        seen = materialise(verified(rest.where("u != x").select("k", "x", F.col("u").alias("y"))), "line-leaders")
-        edges.append(seen.where("ok").select(F.col("x").alias("a"), F.col("y").alias("b")))
-        left = seen.where("NOT ok").select("k", F.col("y").alias("u"))
-        lows = materialise(left.groupBy("k").agg(F.min("u").alias("x"), F.count("*").alias("n")).where("n > 1").select("k", "x"), "line-lows")
-        rest = materialise(left.join(lows, "k"), "line-rest")
-    roots = components(reduce(DataFrame.union, edges)).select("node", "root")
+    big = members.where(F.col("n") > NODE_ROWS).select("u", "low")
+    stars = big.where("u != low").select(F.col("low").alias("x"), F.col("u").alias("y")).distinct()
+    edges = materialise(verified(pairs.union(stars).distinct()).where("ok").select(F.col("x").alias("a"), F.col("y").alias("b")), "line-edges")
+    if not big.isEmpty():
+        groups = components(big.select(F.col("u").alias("a"), F.col("low").alias("b"))).select(F.col("node").alias("u"), F.col("root").alias("g"))
+        near = components(edges)
+        dealt = groups.join(near, F.col("u") == F.col("node"), "left").select("g", "u", F.coalesce("root", "u").alias("c")).join(texts, "u")
+        edges = edges.union(_tiled(materialise(dealt, "line-groups"), threshold))
+    roots = components(edges).select("node", "root")
     own = F.struct("first", "h")
     return lines.withColumn("u", own).join(roots, F.col("u") == F.col("node"), "left").select("h", "first", "n", F.coalesce("root.h", "h").alias("root"))
 

@@ -228,6 +228,42 @@ def test_fuzzy_lines(docs, spark):
     assert fuzzy_lines.deduplicated(docs.limit(0)).count() == 0
 
 
+def _line_roots(lines, threshold=0.8):
+    """The first of each line's component, over all pairs."""
+    sets = [frozenset(x[i : i + 8] for i in range(len(x) - 7)) for x in lines]
+    root = list(range(len(lines)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if root[i] != root[j]:
+                n = len(a & sets[j])
+                if n >= threshold * (len(a) + len(sets[j]) - n):
+                    low, high = sorted((root[i], root[j]))
+                    root = [low if r == high else r for r in root]
+    return root
+
+
+def _family(n, seed, most):
+    rng = np.random.default_rng(seed)
+    template = [f"{rng.choice(['ka', 'lo', 'mi', 'tu'])}{rng.choice(['ren', 'sol', 'vat'])}{i}" for i in range(30)]
+    out = []
+    for k in range(n):
+        words = list(template)
+        for at in rng.choice(30, int(rng.integers(1, most + 1)), replace=False):
+            words[at] = f"x{k}y{at}"
+        out.append(" ".join(words))
+    return out
+
+
+def test_fuzzy_lines_large_family(spark, monkeypatch):
+    """A family whose buckets are large: all pairs count, also those of which neither line leads, within and across tiles."""
+    monkeypatch.setattr(fuzzy_lines, "TILE_ROWS", 40, raising=False)
+    lines = _family(120, 5, 3)
+    roots = _line_roots(lines)
+    found = fuzzy_lines.deduplicated(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3))
+    kept = {r["doc_id"] for r in found.where("n_removed = 0").collect()}
+    assert kept == set(roots) and 1 < len(kept) < 120
+
+
 PAGE = """<html><head><title>T</title><script>var x="<p>no</p>";</script></head><body><header>Site</header><nav><ul><li><a href=/a>A</a></li></ul></nav>
 <div class="ad">Buy, now, this, thing, please</div><article><h1>Head &amp; tail</h1><p>First paragraph, with a comma,\n and enough text to be scored.<p>Second &eacute; one.</p>
 <div class="comments"><p>I disagree, entirely, with all of this, because of reasons.</p></div><aside>Related</aside></article><footer>&copy; me</footer></body></html>"""
