@@ -1,7 +1,7 @@
 """Main text of web pages by tree scoring.
 
-The page becomes a tree. Parts that are no content by their element, role or class name go first. Each remaining
-paragraph earns points for its length and commas, which pass in full to its parent, by half to the next ancestor and by
+The page becomes a tree. Parts that are no content by their element, role or class name go first; a class name, or a form,
+counts only where the part holds no article and not most of the page's paragraph text. Each remaining paragraph earns points for its length and commas, which pass in full to its parent, by half to the next ancestor and by
 less to those above. A container's points are discounted by the share of its text that stands in links. The best
 container is kept, raised to the article that holds it, with those siblings whose points come near its own.
 
@@ -13,7 +13,7 @@ rows are read each on its own; a column named as the result is replaced.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 #: Element names and class words.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-DROPPED = frozenset("aside audio button canvas datalist dialog embed footer form head iframe input map menu meter nav noscript object option output progress script select style svg template textarea title video".split())
+DROPPED = frozenset("aside audio button canvas datalist dialog embed footer head iframe input map menu meter nav noscript object option output progress script select style svg template textarea title video".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 div section article main body".split())
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 NO_CONTENT = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion recommended related reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget".split())
 CLOSES_P = BLOCKS - {"body", "html", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "summary", "figcaption"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -111,19 +111,60 @@ def _is_clutter(node: Node) -> bool:
         return True
     if "display:none" in (a.get("style") or "").replace(" ", "").lower():
         return True
-    named = f"{a.get('class') or ''} {a.get('id') or ''}"
-    found = {w.lower() for w in _WORD.findall(named)} | set(named.lower().split())
-    return bool(found & NO_CONTENT) or ("header" in found and not _inside(node, _ARTICLE) and node.tag not in _ARTICLE)
+    return False
 
 
-def prune(node: Node) -> None:
+def _named_clutter(node: Node) -> bool:
+    """Does a whole class name or id, or each word of one, say that this is no content?"""
+    a = node.attrs
+    if not a or node.tag in ("body", "html"):
+        return False
+    for token in f"{a.get('class') or ''} {a.get('id') or ''}".split():
+        words = [w.lower() for w in _WORD.findall(token)] if token.lower() not in NO_CONTENT else [token.lower()]
+        if words and NO_CONTENT.issuperset(words):
+            return True
+        if token.lower() == "header" and not _inside(node, _ARTICLE) and node.tag not in _ARTICLE:
+            return True
+    return False
+
+
+def _drop(node: Node, test: Callable[[Node], bool]) -> None:
     stack = [node]
     while stack:
         top = stack.pop()
-        top.parts = [p for p in top.parts if isinstance(p, str) or not _is_clutter(p)]
+        top.parts = [p for p in top.parts if isinstance(p, str) or not test(p)]
         stack += [p for p in top.parts if not isinstance(p, str)]
 
 
+def prune(root: Node) -> None:
+    """Drops what is no content; names, and forms, only where neither an article nor most of the paragraphs stand in them."""
+    _drop(root, _is_clutter)
+    nodes = _walk(root)
+    text: dict[int, int] = {}
+    held: dict[int, int] = {}
+    holds: set[int] = set()
+    for node in reversed(nodes):
+        inner = [p for p in node.parts if not isinstance(p, str)]
+        own = len(_own_text(node)) if node.tag in PARAGRAPHS else 0
+        text[id(node)] = sum(text[id(p)] for p in inner) + own
+        held[id(node)] = text[id(node)] if node.tag in _ARTICLE else sum(held[id(p)] for p in inner)
+        if node.tag in _ARTICLE or any(id(p) in holds for p in inner):
+            holds.add(id(node))
+
+    def goes(node: Node) -> bool:
+        form = node.tag == "form" or (node.attrs.get("role") or "").lower() == "form"
+        if node.tag in _ARTICLE or not (form or _named_clutter(node)):
+            return False
+        inside = _inside(node, _ARTICLE)
+        if id(node) in holds and not inside:
+            return False
+        most = 2 * text[id(node)] > text[id(root)]
+        # Long comments beside an article are no content, however long.
+        return not most or not (form or inside or held[id(root)] == held[id(node)])
+
+    _drop(root, goes)
+
+
 def _walk(root: Node) -> list[Node]:
     out, stack = [], [root]
     while stack:

@@ -279,6 +279,29 @@ def test_html(spark):
     assert [r["main_text"][:4] for r in html_text.extracted(pages).orderBy("page_id").collect()] == ["Head", ""]
 
 
+BODY = "<p>" + "Words, and more words of the article. " * 9 + "</p><p>" + "A second paragraph, with a comma. " * 9 + "</p>"
+LINK = "<div class=cookie-banner><p>We use cookies, as all do, to be sure.</p></div><div class=sidebar><p>See also, if you like, these pages.</p></div>"
+
+
+@pytest.mark.parametrize("open_, close", [
+    ("<div class='content-sidebar-wrap'>", "</div>"), ("<main class='has-sidebar'>", "</main>"), ("<article class='post category-notices tag-advertising'>", "</article>"),
+    ("<article class='post tag-social'>", "</article>"), ("<main class=sidebar>", "</main>"), ("<div class=sidebar><article>", "</article></div>"),
+    ("<div class=widget>", "</div>"), ("<form>", "</form>"), ("<form class=login><main>", "</main></form>"), ("<div id=page role=form>", "</div>"),
+])
+def test_html_keeps_content(open_, close):
+    """A class name or a form never costs the page its article; what is named so beside it still goes."""
+    text = html_text.main_text(f"<body>{LINK}{open_}{BODY}{close}</body>")
+    assert text.split("\n") == [" ".join(("Words, and more words of the article. " * 9).split()), " ".join(("A second paragraph, with a comma. " * 9).split())]
+
+
+def test_html_drops_named_clutter():
+    comments = "<div class=comments>" + "<p>I disagree, with all of this, for long reasons.</p>" * 50 + "</div>"
+    for part in (comments, "<div id=comments><article class=comment-body><p>I disagree, with all of this.</p></article></div>"):
+        assert "disagree" not in html_text.main_text(f"<body><main><article>{BODY}</article>{part if part is not comments else ''}</main>{part if part is comments else ''}</body>")
+    assert html_text.main_text("<body><div class=ad>Buy, now, this, thing, please, all of you.</div><article><h1>Head</h1><p>Short.</p></article></body>") == "Head\nShort."
+    assert "Name" not in html_text.main_text(f"<body><article>{BODY}<form><p>Name and address, please, in full.</p></form></article></body>")
+
+
 def test_token_counts(spark, docs, rows):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
