@@ -38,6 +38,22 @@ _PHRASE_BASE, _WINDOW_BASE = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
 _PLACE_BITS = 22
 
 
+def _places(grams: np.ndarray, span: int) -> np.ndarray:
+    """Where the least run of each `span` consecutive ones stands."""
+    low = np.uint64((1 << _PLACE_BITS) - 1)
+    out = np.empty(max(0, len(grams) - span + 1), np.int64)
+    take = max(1, int(low) - span + 1)
+    for at in range(0, len(out), take):
+        part = grams[at : at + take + span - 1]
+        least, width = (part & ~low) | np.arange(len(part), dtype=np.uint64), 1
+        while width < span:
+            step = min(width, span - width)
+            least = np.minimum(least[: len(least) - step], least[step:])
+            width += step
+        out[at : at + take] = (least & low).astype(np.int64) + at
+    return out
+
+
 def phrases(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Phrases of a chunk: document, first window (by its first word), number of windows, anchor and content hash."""
     n_words = len(w.hash)
@@ -45,18 +61,9 @@ def phrases(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
     owner = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
     grams = run_hashes(w.hash, ANCHOR)
-    low = np.uint64((1 << _PLACE_BITS) - 1)
-    if len(grams) > int(low):
-        raise ValueError("a document has more words than an anchor's place can hold")
-    packed = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
-    least, width, span = packed, 1, window - ANCHOR + 1
-    while width < span:
-        step = min(width, span - width)
-        least = np.minimum(least[: len(least) - step], least[step:])
-        width += step
     n = n_words - window + 1
+    place = _places(grams, window - ANCHOR + 1)
     inside = owner[:n] == owner[window - 1 :]
-    place = least & low
     starts = np.empty(n, bool)
     starts[0] = True
     starts[1:] = (place[1:] != place[:-1]) | (owner[1:n] != owner[: n - 1]) | (inside[1:] != inside[:-1])
@@ -64,7 +71,7 @@ def phrases(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     size = np.diff(np.append(begin, n))
     held = inside[begin]
     begin, size = begin[held], size[held]
-    anchor = grams[place[begin].astype(np.int64)]
+    anchor = grams[place[begin]]
     content = mix(span_hashes(w.hash, begin, begin + size + window - 1, _PHRASE_BASE) + size.astype(np.uint64))
     return owner[begin], begin, size, anchor, content
 

@@ -67,6 +67,16 @@ def test_substring(docs, rows):
     assert substring.without_repeats(docs.limit(0)).count() == 0
 
 
+def test_substring_long_document(monkeypatch):
+    """A document of more words than an anchor's place can hold is taken in steps, with the same phrases."""
+    text = " ".join(f"w{i % 700}" for i in range(3000)).encode()
+    w = substring.words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    whole = substring.phrases(w, 35)
+    monkeypatch.setattr(substring, "_PLACE_BITS", 8)
+    for a, b in zip(whole, substring.phrases(w, 35), strict=True):
+        assert a.tolist() == b.tolist()
+
+
 def test_decontaminate(spark, docs, rows):
     items = spark.createDataFrame([(1, numbers(20, 30)), (2, "OK, Fine"), (3, None), (4, "..."), (5, numbers(20, 30)), (None, "x")], "item_id long, text string")
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
