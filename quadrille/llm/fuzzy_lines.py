@@ -38,7 +38,8 @@ def shingles(line: Column) -> Column:
 
 def _bands(hashes: Column, kind: int) -> Column:
     def least(seed: int) -> Column:
-        mask = (seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & 0x7FFFFFFFFFFFFFFF
+        mask = (seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & 0xFFFFFFFFFFFFFFFF
+        mask -= (mask >> 63) << 64  # as a signed number: the sign bit is flipped too
         return F.array_min(F.transform(hashes, lambda x: x.bitwiseXOR(F.lit(mask))))
 
     return F.array(*(F.xxhash64(F.lit(kind), F.lit(b), *(least(b * ROWS + r + 1) for r in range(ROWS))) for b in range(BANDS)))

@@ -274,6 +274,16 @@ def test_fuzzy_lines_large_family(spark, monkeypatch):
     assert kept == set(roots) and 1 < len(kept) < 120
 
 
+def test_fuzzy_lines_recall(spark):
+    """Pairs just over the threshold share a band key, but for a few in a thousand."""
+    rng = np.random.default_rng(4)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    pairs = [("".join(rng.choice(letters, 34)), "".join(rng.choice(letters, 3))) for _ in range(1000)]
+    pairs = [(x + y, x + y[::-1].upper()) for x, y in pairs]
+    shared = F.arrays_overlap(fuzzy_lines.band_keys(F.col("x")), fuzzy_lines.band_keys(F.col("y")))
+    assert spark.createDataFrame(pairs, "x string, y string").where(~shared).count() <= 5
+
+
 PAGE = """<html><head><title>T</title><script>var x="<p>no</p>";</script></head><body><header>Site</header><nav><ul><li><a href=/a>A</a></li></ul></nav>
 <div class="ad">Buy, now, this, thing, please</div><article><h1>Head &amp; tail</h1><p>First paragraph, with a comma,\n and enough text to be scored.<p>Second &eacute; one.</p>
 <div class="comments"><p>I disagree, entirely, with all of this, because of reasons.</p></div><aside>Related</aside></article><footer>&copy; me</footer></body></html>"""
