@@ -1,12 +1,13 @@
-"""N-gram Jaccard join with a MinHash LSH forest and exact verification.
+"""N-gram Jaccard join by MinHash banding at a fixed depth, as of an LSH forest, with exact verification.
 
 Documents are sets of word shingles (SHINGLE words; a shorter text is one shingle). Equal sets are one class, found by
-one combinable aggregate, and only its first document goes on. The forest has TREES prefix tries over MinHash
-signatures of up to MAX_DEPTH values a tree. Documents match in a tree when their prefixes do, and prefixes are
-shortened from MAX_DEPTH until a pair at the threshold is met in some tree with probability RECALL; since each longer
-match also shares the shorter prefix, one join at that depth finds all. All candidates are verified on whole texts.
+one combinable aggregate, and only its first document goes on. A forest of TREES prefix
+tries over MinHash signatures would shorten prefixes from MAX_DEPTH values until a pair at the threshold is met in some
+tree with probability RECALL. As longer matches also share the shorter prefix, one equi-join at that depth finds all of
+them: depth() computes it from the threshold, only so many values are made, and neither tries nor sorted prefixes are
+built. All candidates are verified on whole texts.
 
-A trie node of up to NODE_ROWS documents gives its pairs. Larger nodes are groups of near copies: the nodes that share
+A bucket of up to NODE_ROWS documents gives its pairs. Larger buckets are groups of near copies: the buckets that share
 documents are united, and the documents of each union are dealt into tiles of bounded size, whose pairs of tiles are
 verified as matrix products. A tile gives one row per document (its number of links and a root), never one per pair.
 No partner or candidate is capped.
