@@ -1,19 +1,20 @@
 """Fuzzy line dedup by MinHash, in built-in functions only.
 
-Lines are cut at \\n; lines without a visible character are never touched. Equal lines are counted first by one combinable
-aggregate, so only distinct lines go on. A line's shingles are its runs of SHINGLE characters. Its signature takes the
-least of the hashed shingles under BANDS * ROWS orders of the hashes (hash XOR seed), over a quarter of the hashes chosen
-by value for long lines: choosing by value keeps the estimate the same for both lines of a pair. Lines near the border
-between short and long have signatures of both kinds. Bands of ROWS values make the candidates, exact Jaccard on all
-shingles verifies them, and distributed union-find joins what is verified. Of each component one line stays: the one that
-comes first by document and line number, in its first place only.
-
-A bucket of up to NODE_ROWS distinct lines gives its pairs. Larger buckets that share lines are united. Their lines meet the
-first of each bucket; then the lines of each union are dealt into tiles of bounded size, and all pairs that are not joined
-yet are verified tile by tile. Every pair of a bucket is thus verified, or joined by others: nothing is capped or dropped.
-
-Null and empty texts have no lines. A line shorter than a shingle equals only its like. Documents that share or lack a key
-are ordered by their text; an empty table gives no rows. Columns that bear the names of the results are replaced.
+Lines are cut at \\n; lines without a visible character are never touched. A line's shingles are its runs of SHINGLE
+characters, hashed once and sorted once. Its MinHash orders are the BANDS rotations of the circle of hashes: the band of
+a rotation holds the ROWS least shingles from that rotation's point on, found by place in the one sorted array, whatever
+the length of the line. Lines that share a band are candidates, exact Jaccard on all shingles verifies them, and
+distributed union-find joins what is verified. Of each component one line stays: the one that comes first by document and
+line number, in its first place only.
+
+A bucket of up to NODE_ROWS distinct lines gives its pairs. Larger buckets that share lines are united into groups. Their
+lines meet one line of each bucket; what that leaves outside a group's largest component is dealt into tiles of bounded
+size and verified against all lines of the group. Every pair of a bucket is thus verified, or joined by others: nothing is
+capped or dropped.
+
+Null and empty texts have no lines. A line shorter than a shingle equals only its like. Rows that repeat both key and text
+are one document and get one and the same result; documents that share or lack a key and differ in text are ordered by
+their text. An empty table gives no rows. Columns that bear the names of the results are replaced.
 """
 
 from __future__ import annotations
@@ -22,43 +23,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quality import let
-from .runtime import components, materialise
+from .runtime import components, discard, materialise
 
 SHINGLE, THRESHOLD = 8, 0.8
 BANDS, ROWS = 10, 3
 NODE_ROWS, TILE_ROWS, TILE_CHARS = 32, 256, 1 << 20
-#: Lines of at least SHORT characters may take the sampled signature, those of at most LONG the full one.
-SHORT, LONG = 80, 160
 
 
-def shingles(line: Column) -> Column:
-    """Distinct runs of SHINGLE characters; a shorter line is its own."""
-    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(F.array_distinct(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))))
+def shingles(line: Column, by=F.xxhash64) -> Column:
+    """Hashes of the distinct runs of SHINGLE characters; a shorter line is its own.
 
+    As UTF-32 every character takes four bytes, so a run is cut out by its place and not by counting characters.
+    """
+    width = 4 * SHINGLE
+
+    def runs(raw: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(raw) - (width - 1)), F.lit(4))
+        return F.transform(starts, lambda i: by(F.call_function("substring", raw, i, F.lit(width))))
 
-def _bands(hashes: Column, kind: int) -> Column:
-    def least(seed: int) -> Column:
-        mask = (seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & 0xFFFFFFFFFFFFFFFF
-        mask -= (mask >> 63) << 64  # as a signed number: the sign bit is flipped too
-        return F.array_min(F.transform(hashes, lambda x: x.bitwiseXOR(F.lit(mask))))
+    return F.array_distinct(let(F.encode(line, "UTF-32"), runs))
 
-    return F.array(*(F.xxhash64(F.lit(kind), F.lit(b), *(least(b * ROWS + r + 1) for r in range(ROWS))) for b in range(BANDS)))
 
+def with_bands(lines: DataFrame, line: str = "line") -> DataFrame:
+    """Adds n (number of distinct shingles) and keys (one per band). Each step is a column of its own: generated code."""
+    marks = [((2 * j + 1) << 31) // BANDS for j in range(BANDS)]
+    x = lines.withColumn("_r", F.sort_array(shingles(F.col(line), F.crc32)))
+    # Among the sorted hashes and points, a point's place tells how many hashes are less than it.
+    x = x.withColumns({"n": F.size("_r"), "_s": F.sort_array(F.concat("_r", F.array(*(F.lit(m).cast("long") for m in marks)))), "_w": F.concat("_r", F.slice("_r", 1, ROWS))})
+    x = x.withColumns({f"_p{j}": (F.array_position("_s", F.lit(m).cast("long")) - (j + 1)).cast("int") for j, m in enumerate(marks)})
 
-def band_keys(line: Column) -> Column:
-    def of(h: Column) -> Column:
-        sampled = let(F.filter(h, lambda x: x.bitwiseAND(F.lit(3)) == 0), lambda s: F.when(F.size(s) > 0, _bands(s, 1)).otherwise(F.array().cast("array<bigint>")))
-        n = F.size(h)
-        return F.when(n <= SHORT, _bands(h, 0)).when(n > LONG, sampled).otherwise(F.concat(_bands(h, 0), sampled))
+    def band(j: int) -> Column:
+        at = F.col(f"_p{j}")
+        return F.xxhash64(F.lit(j), *(F.get("_w", F.when(at >= F.col("n"), i).otherwise(at + i)) for i in range(ROWS)))
 
-    return let(F.transform(shingles(line), lambda x: F.xxhash64(x)), of)
+    return x.withColumn("keys", F.array(*(band(j) for j in range(BANDS)))).drop("_r", "_s", "_w", *(f"_p{j}" for j in range(BANDS)))
 
 
-def _similar(a: Column, b: Column, threshold: float) -> Column:
-    def jaccard(p: Column) -> Column:
-        return let(F.size(F.array_intersect(p["a"], p["b"])), lambda n: n >= threshold * (F.size(p["a"]) + F.size(p["b"]) - n) - 1e-9)
+def _could(a: Column, b: Column, threshold: float) -> Column:
+    """May sets of these sizes reach the threshold?"""
+    return F.least(a, b) >= threshold * F.greatest(a, b) - 1e-9
 
-    return let(F.struct(shingles(a).alias("a"), shingles(b).alias("b")), jaccard)
+
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """pairs (x, y) of line hashes -> edges (a, b) of lines that reach the threshold."""
+    both = pairs.join(texts.select(F.col("a").alias("x"), F.col("u").alias("a"), F.col("line").alias("_x")), "x")
+    both = both.join(texts.select(F.col("a").alias("y"), F.col("u").alias("b"), F.col("line").alias("_y")), "y")
+    sets = both.select("a", "b", shingles(F.col("_x")).alias("_x"), shingles(F.col("_y")).alias("_y"))
+    sets = sets.withColumn("_n", F.size(F.array_intersect("_x", "_y")))
+    return sets.where(F.col("_n") >= threshold * (F.size("_x") + F.size("_y") - F.col("_n")) - 1e-9).select("a", "b")
 
 
 def _joined(items: Column, threshold: float) -> Column:
@@ -72,8 +84,7 @@ def _joined(items: Column, threshold: float) -> Column:
 
         def similar(p: Column, q: Column) -> Column:
             a, b = F.size(p["s"]), F.size(q["s"])
-            could = F.least(a, b) >= threshold * F.greatest(a, b) - 1e-9
-            return F.when(could, let(F.size(F.array_intersect(p["s"], q["s"])), lambda both: both >= threshold * (a + b - both) - 1e-9)).otherwise(False)
+            return F.when(_could(a, b, threshold), let(F.size(F.array_intersect(p["s"], q["s"])), lambda both: both >= threshold * (a + b - both) - 1e-9)).otherwise(False)
 
         def step(labels: Column, i: Column) -> Column:
             def meet(found: Column, k: Column) -> Column:
@@ -94,16 +105,29 @@ def _joined(items: Column, threshold: float) -> Column:
 def _tiled(dealt: DataFrame, threshold: float) -> DataFrame:
     """dealt: lines (g, u, c, line) of groups g, joined as far as c says -> links (a, b) that join what pairs of a group join.
 
-    A tile pair gives a row for each line that it links, never one for each pair.
+    The largest component of a group is joined already, so only the lines outside it meet all others. A tile pair gives a
+    row for each line that it links, never one for each pair.
     """
-    volume = F.greatest(F.count("*") / TILE_ROWS, F.sum(F.length("line")) / TILE_CHARS)
-    sizes = materialise(dealt.groupBy("g").agg(F.ceil(volume).cast("int").alias("b"), F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("g", "b"), "line-sizes")
-    t = dealt.join(sizes, "g").withColumn("t", F.pmod(F.xxhash64("u"), F.col("b")).cast("int"))
-    t = t.select("g", "u", "c", "line", "t", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("o"))
+    parts = dealt.groupBy("g", "c").agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("chars"))
+    parts = materialise(parts, "line-parts")
+    whole = parts.groupBy("g").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("n"), F.sum("chars").alias("chars")).where("top.n < n")
+    top = parts.select("g", F.col("c").alias("top_c"), F.col("chars").alias("top_chars"))
+    whole = whole.join(top, ["g"]).where("top_c = top.c")
+
+    def tiles(n: Column, chars: Column) -> Column:
+        return F.greatest(F.lit(1), F.ceil(F.greatest(n / TILE_ROWS, chars / TILE_CHARS))).cast("int")
+
+    sizes = whole.select("g", F.col("top.c").alias("top"), tiles(F.col("top.n"), F.col("top_chars")).alias("many"), tiles(F.col("n") - F.col("top.n"), F.col("chars") - F.col("top_chars")).alias("few"))
+    t = dealt.join(materialise(sizes, "line-sizes"), "g").withColumn("main", F.col("c") == F.col("top"))
+    own = F.pmod(F.xxhash64("u"), F.when(F.col("main"), F.col("many")).otherwise(F.col("few"))).cast("int")
+    # Tiles of the lines outside are numbered from 0, those of the largest component from `few` on.
+    t = t.withColumn("t", F.when(F.col("main"), own + F.col("few")).otherwise(own))
+    others = F.sequence(F.lit(0), F.when(F.col("main"), F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)
+    t = t.select("g", "u", "c", "line", "t", F.explode(others).alias("o"))
     # Side 2 marks the lines of a tile that is paired with itself.
     side = F.when(F.col("t") == F.col("o"), 2).when(F.col("t") < F.col("o"), 0).otherwise(1)
     t = t.groupBy("g", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j")).agg(F.collect_list(F.struct("u", "c", side.alias("side"), "line")).alias("x"))
-    sets = F.transform("x", lambda p: F.struct(p["u"].alias("u"), p["c"].alias("c"), p["side"].alias("side"), F.array_distinct(F.transform(shingles(p["line"]), lambda s: F.xxhash64(s))).alias("s")))
+    sets = F.transform("x", lambda p: F.struct(p["u"].alias("u"), p["c"].alias("c"), p["side"].alias("side"), shingles(p["line"]).alias("s")))
     t = t.where(F.size("x") > 1).select("x", _joined(sets, threshold).alias("labels"))
     t = t.select(F.explode(F.transform("x", lambda p, k: F.struct(p.alias("p"), F.get(F.col("x"), F.get("labels", k).cast("int")).alias("q")))).alias("e"))
     return materialise(t.where("e.p.c != e.q.c").select(F.col("e.p.u").alias("a"), F.col("e.q.u").alias("b")), "line-tiles")
@@ -115,53 +139,63 @@ def _lines(documents: DataFrame, key: str, text: str) -> DataFrame:
     return rows.withColumns({"a": F.xxhash64("line"), "b": F.xxhash64(F.lit(1), "line")})
 
 
-def line_classes(documents: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Distinct lines: h (its hashes), first (where it stands first: id, th, at), n (how often), root (h of its component's first line)."""
+def line_classes(documents: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """All lines (id, th, at, a, b) and the distinct ones: a, b (hashes), first (where it stands first: id, th, at), n
+    (how often), root (a, b and first place of its component's first line).
+    """
     rows = _lines(documents, key, text)
-    lines = rows.groupBy(F.struct("a", "b").alias("h")).agg(F.min(F.struct("id", "th", "at")).alias("first"), F.count("*").alias("n"), F.min("line").alias("line"))
-    lines = materialise(lines, "line-distinct")
-    keys = lines.select(F.struct("first", "h").alias("u"), F.explode(band_keys(F.col("line"))).alias("k"))
-    keys = materialise(keys, "line-keys")
-    shared = materialise(keys.groupBy("k").agg(F.count("*").alias("n"), F.min("u").alias("low")).where("n > 1"), "line-nodes")
-    members = materialise(keys.join(shared, "k").select("k", "n", "low", "u"), "line-members")
-    small = members.where(F.col("n") <= NODE_ROWS).select("k", "u")
-    pairs = small.withColumnRenamed("u", "x").join(small.withColumnRenamed("u", "y"), "k").where("x < y").select("x", "y").distinct()
-    texts = lines.select(F.struct("first", "h").alias("u"), "line")
-
-    def verified(p: DataFrame) -> DataFrame:
-        both = p.join(texts.select(F.col("u").alias("x"), F.col("line").alias("lx")), "x").join(texts.select(F.col("u").alias("y"), F.col("line").alias("ly")), "y")
-        return both.withColumn("ok", _similar(F.col("lx"), F.col("ly"), threshold)).drop("lx", "ly")
-
-    big = members.where(F.col("n") > NODE_ROWS).select("u", "low")
-    stars = big.where("u != low").select(F.col("low").alias("x"), F.col("u").alias("y")).distinct()
-    edges = materialise(verified(pairs.union(stars).distinct()).where("ok").select(F.col("x").alias("a"), F.col("y").alias("b")), "line-edges")
-    if not big.isEmpty():
-        groups = components(big.select(F.col("u").alias("a"), F.col("low").alias("b"))).select(F.col("node").alias("u"), F.col("root").alias("g"))
+    signed = materialise(with_bands(rows).select("id", "th", "at", "a", "b", "n", "keys"), "line-rows")
+    lines = materialise(signed.groupBy("a", "b").agg(F.min(F.struct("id", "th", "at")).alias("first"), F.count("*").alias("n")), "line-distinct")
+    keys = signed.select("a", "n", F.explode("keys").alias("k"))
+    # A bucket of more than one line has a least and a greatest hash; equal lines share theirs.
+    shared = keys.groupBy("k").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low != high").select("k", "low")
+    shared = materialise(shared, "line-nodes")
+    members = materialise(keys.join(shared, "k").select("k", "low", "a", "n").distinct(), "line-members")
+    sizes = materialise(members.groupBy("k").agg(F.count("*").alias("m")).where(F.col("m") > NODE_ROWS).select("k"), "line-buckets")
+    large = not sizes.isEmpty()
+    small = members.join(sizes, "k", "left_anti") if large else members
+    x, y = small.select("k", F.col("a").alias("x"), F.col("n").alias("xn")), small.select("k", F.col("a").alias("y"), F.col("n").alias("yn"))
+    pairs = x.join(y, "k").where((F.col("x") < F.col("y")) & _could(F.col("xn"), F.col("yn"), threshold)).select("x", "y")
+    if large:
+        big = materialise(members.join(sizes, "k").select("low", "a", "n").distinct(), "line-big")
+        pairs = pairs.union(big.where("low != a").select(F.col("low").alias("x"), F.col("a").alias("y")))
+    pairs = materialise(pairs.distinct(), "line-pairs")
+    discard(shared, members)
+    wanted = pairs.select(F.col("x").alias("a")).union(pairs.select(F.col("y").alias("a"))).distinct()
+    texts = rows.select("a", "b", "line").join(wanted, "a", "left_semi").groupBy("a", "b").agg(F.first("line").alias("line"))
+    texts = materialise(texts.join(lines.select("a", "b", "first"), ["a", "b"]).select("a", F.struct("first", "a", "b").alias("u"), "line"), "line-texts")
+    edges = materialise(_verified(pairs, texts, threshold), "line-edges")
+    if large:
+        nodes = texts.select("a", "u")
+        both = big.join(nodes, "a").join(nodes.select(F.col("a").alias("low"), F.col("u").alias("l")), "low")
+        groups = components(both.select(F.col("u").alias("a"), F.col("l").alias("b"))).select(F.col("node").alias("u"), F.col("root").alias("g"))
         near = components(edges)
-        dealt = groups.join(near, F.col("u") == F.col("node"), "left").select("g", "u", F.coalesce("root", "u").alias("c")).join(texts, "u")
+        dealt = groups.join(near, F.col("u") == F.col("node"), "left").select("g", "u", F.coalesce("root", "u").alias("c")).join(texts.select("u", "line"), "u")
         edges = edges.union(_tiled(materialise(dealt, "line-groups"), threshold))
-    roots = components(edges).select("node", "root")
-    own = F.struct("first", "h")
-    return lines.withColumn("u", own).join(roots, F.col("u") == F.col("node"), "left").select("h", "first", "n", F.coalesce("root.h", "h").alias("root"))
+        discard(big)
+    roots = materialise(components(edges).where("node != root").select(F.col("node.a").alias("a"), F.col("node.b").alias("b"), "root"), "line-roots")
+    discard(texts, pairs)
+    found = lines.join(roots, ["a", "b"], "left").select("a", "b", "first", "n", F.coalesce("root", F.struct("first", "a", "b")).alias("root"))
+    return signed.select("id", "th", "at", "a", "b"), found
 
 
 def without_fuzzy_lines(documents: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: id and th (key and text hash), n_lines with a visible character, and the numbers of those that go."""
-    found = materialise(line_classes(documents, key=key, text=text, threshold=threshold), "line-classes")
-    rows = _lines(documents, key, text).select(F.struct("a", "b").alias("h"), F.struct("id", "th", "at").alias("place"))
-    stays = found.where("root = h").select(F.col("h"), F.col("first"))
-    marked = rows.join(materialise(stays, "line-stays"), "h", "left").select("place.*", (~F.col("place").eqNullSafe(F.col("first"))).alias("goes"))
-    return marked.groupBy("id", "th").agg(F.count("*").alias("n_lines"), F.collect_set(F.when(F.coalesce("goes", F.lit(True)), F.col("at"))).alias("gone"))
+    rows, found = line_classes(documents, key=key, text=text, threshold=threshold)
+    stays = materialise(found.where("root.a = a AND root.b = b").select("a", "b", "first"), "line-stays")
+    place = F.struct("id", "th", "at")
+    marked = rows.join(stays, ["a", "b"], "left").select("id", "th", "at", F.coalesce(~place.eqNullSafe(F.col("first")), F.lit(True)).alias("goes"))
+    return marked.groupBy("id", "th").agg(F.size(F.collect_set("at")).alias("n_lines"), F.collect_set(F.when(F.col("goes"), F.col("at"))).alias("gone"))
 
 
 def deduplicated(documents: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, keep_text: bool = True) -> DataFrame:
     """The documents with n_lines, n_removed and, if wanted, the kept text; lines without a visible character stay."""
-    docs = documents.drop("n_lines", "n_removed", "kept_text", "_th").withColumn("_th", F.xxhash64(key, text))
-    gone = materialise(without_fuzzy_lines(documents, key=key, text=text, threshold=threshold), "line-gone").select(F.col("id").alias("_gid"), F.col("th").alias("_gth"), "n_lines", "gone")
+    docs = documents.drop("n_lines", "n_removed", "kept_text").withColumn("_th", F.xxhash64(key, text))
+    gone = materialise(without_fuzzy_lines(documents, key=key, text=text, threshold=threshold), "line-gone").select(F.col("id").alias("_gid"), F.col("th").alias("_gth"), F.col("n_lines").alias("_n"), F.col("gone").alias("_gone"))
     base = docs if keep_text else docs.drop(text)
     out = base.join(gone, F.col(key).cast("long").eqNullSafe(F.col("_gid")) & (F.col("_th") == F.col("_gth")), "left")
-    out = out.withColumns({"n_lines": F.coalesce("n_lines", F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long")})
+    out = out.withColumns({"n_lines": F.coalesce("_n", F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")})
     if keep_text:
-        kept = F.filter(F.split(F.col(text), "\n", -1), lambda x, i: F.coalesce(~F.array_contains("gone", i), F.lit(True)))
+        kept = F.filter(F.split(F.col(text), "\n", -1), lambda x, i: F.coalesce(~F.array_contains("_gone", i), F.lit(True)))
         out = out.withColumn("kept_text", F.array_join(kept, "\n"))
-    return out.drop("_gid", "_gth", "_th", "gone")
+    return out.drop("_gid", "_gth", "_th", "_n", "_gone")

@@ -280,8 +280,22 @@ def test_fuzzy_lines_recall(spark):
     letters = list("abcdefghijklmnopqrstuvwxyz")
     pairs = [("".join(rng.choice(letters, 34)), "".join(rng.choice(letters, 3))) for _ in range(1000)]
     pairs = [(x + y, x + y[::-1].upper()) for x, y in pairs]
-    shared = F.arrays_overlap(fuzzy_lines.band_keys(F.col("x")), fuzzy_lines.band_keys(F.col("y")))
-    assert spark.createDataFrame(pairs, "x string, y string").where(~shared).count() <= 5
+    both = fuzzy_lines.with_bands(spark.createDataFrame(pairs, "x string, y string"), "x").select("y", F.col("keys").alias("k"))
+    assert fuzzy_lines.with_bands(both, "y").where(~F.arrays_overlap("keys", "k")).count() <= 5
+
+
+def test_fuzzy_lines_repeated_rows(spark):
+    """Rows that repeat key and text are one document; rows that lack a key and differ in text are several."""
+    line = "a line of some length that stands in all of these"
+    rows = [(1, line + "\nx"), (1, line + "\nx"), (None, line + "\ny"), (None, line + "\nz")]
+    found = sorted((r["doc_id"] or 0, r["n_lines"], r["n_removed"]) for r in fuzzy_lines.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert found in ([(0, 2, 0), (0, 2, 1), (1, 2, 1), (1, 2, 1)], [(0, 2, 1), (0, 2, 0), (1, 2, 1), (1, 2, 1)])
+
+
+def test_fuzzy_lines_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "same line here\nsame line here", 5, "k")], "doc_id long, text string, n_lines int, gone string")
+    row = fuzzy_lines.deduplicated(docs).collect()[0]
+    assert (row["n_lines"], row["n_removed"], row["kept_text"]) == (2, 1, "same line here")
 
 
 PAGE = """<html><head><title>T</title><script>var x="<p>no</p>";</script></head><body><header>Site</header><nav><ul><li><a href=/a>A</a></li></ul></nav>
