@@ -3,7 +3,12 @@
 Rules look at one document each and vote good (1), bad (-1) or abstain (0). Expectation-maximisation finds how often
 each rule is right for good and for bad documents without any labels, from the counts of the vote patterns: at most
 3 ** rules rows, made by one combinable aggregate, whatever the size of the corpus. The posterior probability of good,
-given a document's votes, then decides instead of a demand that all rules pass.
+given a document's votes, then decides instead of a demand that all rules pass: a lone objection of a rule that other
+rules seldom support is outvoted. All documents with words take part in learning, those that the base rule rejects too.
+
+It starts from a vote in which one objection weighs as much as four approvals, as rules are made to object seldom, and
+goes on until no probability moves by TOLERANCE, for ROUNDS rounds at most. A rule is taken to be no worse than chance: an
+objection never speaks for a document, an approval never against it.
 
 A null or empty text has no words: it fails the base rule. Ties at the threshold are kept. An empty table learns
 nothing and gives no rows. Repeated rows are judged each on its own; columns named as the results are replaced.
@@ -20,12 +25,18 @@ from .runtime import materialise
 
 #: Fixed values of the base rule.
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
-ROUNDS = 40
-#: Posterior at the start of a document that a rule objects to.
-START = 0.02
+#: Words below which the length rule objects.
+SHORT_WORDS = 20
+ROUNDS, TOLERANCE = 200, 1e-7
+#: Log odds that a vote adds at the start.
+APPROVAL, OBJECTION = 0.5, 2.0
 THRESHOLD = 0.5
 
 
+#: Where a word ends in a letter or digit, with or without usual punctuation after it.
+PLAIN = r"[\p{L}\p{N}][.,;:!?\"'»)\]]*(?=[\x20\x09-\x0D]|\z)"
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once: a lambda's argument is never expanded into its uses."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -81,6 +92,7 @@ def signals(text: Column) -> dict[str, Column]:
         "n_lines": F.size(lines).cast("long"),
         "n_upper": F.regexp_count(t, F.lit("[A-Z]")).cast("long"),
         "n_cries": F.regexp_count(t, F.lit("[!?]")).cast("long"),
+        "n_plain": F.regexp_count(t, F.lit(PLAIN)).cast("long"),
         "n_repeat_words": F.col("_q.r").cast("long"),
     }
 
@@ -93,10 +105,10 @@ def rules() -> dict[str, Column]:
     """The rules' votes over the figures of signals()."""
     n, chars = F.col("n_words"), F.greatest(F.col("word_chars"), F.lit(1))
     return {
-        "length": _vote(n >= 50, n < MIN_WORDS),
+        "length": _vote(n >= 50, n < SHORT_WORDS),
         "word_length": _vote(F.col("word_chars").between(3 * n, 10 * n), (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 16 * n)),
         "symbols": _vote(200 * F.col("n_symbols") <= chars, 100 * F.col("n_symbols") > 4 * chars),
-        "marked_words": _vote(20 * F.col("n_symbols") <= n, 10 * F.col("n_symbols") > 3 * n),
+        "plain_words": _vote(100 * F.col("n_plain") >= 90 * n, 100 * F.col("n_plain") < 70 * n),
         "repeated_lines": _vote(F.col("n_dup_lines") == 0, 10 * F.col("n_dup_lines") > 5 * F.col("n_lines")),
         "repeated_words": _vote(100 * F.col("n_repeat_words") <= 5 * n, 100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n),
         "capitals": _vote(100 * F.col("n_upper") <= 15 * chars, 100 * F.col("n_upper") > 30 * chars),
@@ -117,8 +129,9 @@ def measured(documents: DataFrame, text: str = "text") -> DataFrame:
 def learn(votes: DataFrame, names: list[str], rounds: int = ROUNDS) -> dict[str, float | list[float]]:
     """EM over the vote patterns: the share of good documents, and per rule the logarithms of P(vote | good) and P(vote | bad).
 
-    The probabilities are of the votes -1 and 1 among documents on which the rule doesn't abstain: abstaining tells nothing. All rounds run inside one expression over the array of patterns (at most 3 ** rules of them). Starts from
-    all-must-pass; add-one smoothing keeps every probability positive. Entries for vote 0 are unused.
+    The probabilities are of the votes -1 and 1 among documents on which the rule doesn't abstain: abstaining tells nothing.
+    All rounds run inside one expression over the array of patterns (at most 3 ** rules of them). Add-one smoothing keeps
+    every probability positive. `moved` is the last round's greatest change. Entries for vote 0 are unused.
     """
     patterns = votes.groupBy(*names).agg(F.count("*").cast("double").alias("n"))
     packed = patterns.agg(F.collect_list(F.struct(F.array(*(F.col(c).cast("int") for c in names)).alias("v"), "n")).alias("rows"))
@@ -145,14 +158,25 @@ def learn(votes: DataFrame, names: list[str], rounds: int = ROUNDS) -> dict[str,
             odds = F.log(p["prior"] / (1 - p["prior"]))
             for j in range(m):
                 vote = F.get(r["v"], F.lit(j))
-                odds = odds + F.when(vote == 0, 0.0).otherwise(F.get(p["good"], vote + 3 * j + 1) - F.get(p["bad"], vote + 3 * j + 1))
+                worth = F.get(p["good"], vote + 3 * j + 1) - F.get(p["bad"], vote + 3 * j + 1)
+                odds = odds + F.when(vote == -1, F.least(worth, F.lit(0.0))).when(vote == 1, F.greatest(worth, F.lit(0.0))).otherwise(0.0)
             return 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), odds))))
 
         return F.transform(rows, lambda r: F.struct(r["v"].alias("v"), r["n"].alias("n"), posterior(r).alias("p")))
 
-    # The start is all-must-pass: a document that a rule objects to is probably bad. The rounds then learn how much each objection is worth.
-    first = F.transform(F.col("rows"), lambda r: F.struct(r["v"].alias("v"), r["n"].alias("n"), F.when(F.array_contains(r["v"], -1), START).otherwise(1 - START).alias("p")))
-    fitted = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), maximise(first), lambda p, _: maximise(expect(F.col("rows"), p)))
+    def start(v: Column) -> Column:
+        odds = many(F.transform(v, lambda x: F.when(x == 1, APPROVAL).when(x == -1, -OBJECTION).otherwise(0.0)))
+        return 1 / (1 + F.exp(-odds))
+
+    def moved(p: Column, q: Column) -> Column:
+        far = F.zip_with(F.concat(p["good"], p["bad"]), F.concat(q["good"], q["bad"]), lambda x, y: F.abs(F.exp(x) - F.exp(y)))
+        return F.greatest(F.array_max(far), F.abs(p["prior"] - q["prior"]))
+
+    def step(p: Column) -> Column:
+        return let(maximise(expect(F.col("rows"), p)), lambda q: q.withField("moved", moved(p, q)))
+
+    first = F.transform(F.col("rows"), lambda r: F.struct(r["v"].alias("v"), r["n"].alias("n"), start(r["v"]).alias("p")))
+    fitted = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), maximise(first).withField("moved", F.lit(1.0)), lambda p, _: F.when(p["moved"] < TOLERANCE, p).otherwise(step(p)))
     row = packed.select(fitted.alias("p")).first()
     return row["p"].asDict()
 
@@ -164,7 +188,7 @@ def posterior(parameters: Mapping, names: list[str]) -> Column:
     total = F.lit(math.log(prior / (1 - prior)))
     for j, c in enumerate(names):
         odds = [parameters["good"][3 * j + x + 1] - parameters["bad"][3 * j + x + 1] for x in (-1, 0, 1)]
-        total = total + F.when(F.col(c) == -1, odds[0]).when(F.col(c) == 1, odds[2]).otherwise(0.0)
+        total = total + F.when(F.col(c) == -1, min(0.0, odds[0])).when(F.col(c) == 1, max(0.0, odds[2])).otherwise(0.0)
     return 1 / (1 + F.exp(-total))
 
 
@@ -178,6 +202,6 @@ def judged(documents: DataFrame, *, text: str = "text", threshold: float = THRES
     figures = measured(documents, text)
     figures = materialise((figures if keep_text else figures.drop(text)).withColumns(votes), "quality")
     names = list(votes)
-    p = posterior(learn(figures.where(~base_failed()), names), names)
+    p = posterior(learn(figures.where("n_words > 0"), names), names)
     out = figures.withColumns({"quality": p, "base_failed": base_failed()})
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
