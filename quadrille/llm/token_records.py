@@ -25,9 +25,11 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,8 +39,8 @@ from .runtime import scratch_path
 MASK_DELTA = 0xA282EAD8
 #: Bytes after which a task starts its next data file.
 FILE_BYTES = 64 << 20
-#: Distinct text pieces a worker keeps encoded; when full, it starts anew. It bounds memory, not what is encoded.
-CACHE_PIECES = 1_000_000
+#: Distinct text pieces a worker keeps encoded, and their characters; when full, it starts anew. It bounds memory, not what is encoded.
+CACHE_PIECES, CACHE_CHARS = 800_000, 64 << 20
 END_ID = 0
 
 
@@ -73,13 +75,21 @@ def unframe(data: bytes | memoryview, offset: int = 0) -> tuple[int, np.ndarray,
 _BREAK = re.compile(r"(?<=[^\s])(?= [^\s])|(?<=[^\s])(?=\n[^\s])|(?<=[^\s]\n)(?=[^\s])")
 
 
+#: The white space of the splitting rule besides blanks and line feeds, as ranges of code points.
+_OTHER_SPACE = r"\t\r\v\f\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: Texts with runs of white space, white space at an end, or other white space are cut by _BREAK; in all others every blank and line feed is a cut.
+_RUNS = rf"[ \n][ \n]|\A[ \n]|[ \n]\z|[{_OTHER_SPACE}]"
+_CUT = "\0"
+
+
 class PieceEncoder:
     """Encodes texts with a byte-level BPE tokenizer, each distinct piece of text once.
 
     The tokenizer's splitting rule never joins a character that is not white space to a single blank or line feed
     and the visible character after it, so a text cut before each such blank, and on both sides of each such line
     feed, has the ids of its pieces in a row. Longer runs of white space stay inside a piece. The tokenizers library
-    encodes every piece; ids are then copied from its results.
+    encodes every piece; ids are then copied from its results. Texts are cut and their pieces numbered as Arrow columns,
+    so Python sees each distinct piece of a group once.
     """
 
     def __init__(self, path: str, limit: int = CACHE_PIECES):
@@ -94,26 +104,34 @@ class PieceEncoder:
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
-        self.used, self.at = 0, np.zeros(1 << 12, np.int64)
-
-    def pieces(self, text: str) -> list[str]:
-        if any(a in text for a in self.added):
-            return [text]
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\0" in text or text[0] in " \n" or text[-1] in " \n":
-            return _BREAK.split(text)
-        out = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-        if any(w in text for w in "\t\r\v\f\x1c\x1d\x1e\x1f") if text.isascii() else len(text.split()) != len(out) - text.count("\n"):
-            return _BREAK.split(text)
-        return out
+        self.used, self.chars, self.at = 0, 0, np.zeros(1 << 12, np.int64)
+
+    def pieces(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Pieces of all texts in a row, and where each text's begin; texts that must stay whole are one piece."""
+        whole = pc.match_substring(texts, _CUT)
+        for a in self.added:
+            whole = pc.or_(whole, pc.match_substring(texts, a))
+        runs = pc.and_not(pc.match_substring_regex(texts, _RUNS), whole)
+        marked = pc.replace_substring(pc.replace_substring(texts, "\n", f"{_CUT}\n{_CUT}"), " ", f"{_CUT} ")
+        if pc.any(runs).as_py():
+            own = pa.array([_CUT.join(_BREAK.split(t)) for t in texts.filter(runs).to_pylist()], texts.type)
+            marked = pc.replace_with_mask(marked, runs, own)
+        if pc.any(whole).as_py():
+            # A cut mark may stand in such a text, so it is kept out of the splitting and put back as one piece.
+            marked = pc.replace_with_mask(marked, whole, pa.array([""] * pc.sum(whole).as_py(), texts.type))
+        lists = pc.split_pattern(marked, _CUT)
+        at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        flat = lists.flatten()
+        if pc.any(whole).as_py():
+            mask = np.zeros(len(flat), bool)
+            mask[at[:-1][whole.to_numpy(zero_copy_only=False)]] = True
+            flat = pc.replace_with_mask(flat, pa.array(mask), texts.filter(whole))
+        return flat, at
 
     def learn(self, new: list[str]) -> None:
-        if not new:
-            return
         lists = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        self._add(new, np.fromiter((i for x in lists for i in x), np.uint32, int(sizes.sum())), sizes)
-
-    def _add(self, new: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        ids = np.array(list(chain.from_iterable(lists)), np.uint32)
         first = len(self.known)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
@@ -122,34 +140,29 @@ class PieceEncoder:
         self.flat[self.used : self.used + len(ids)] = ids
         self.at[first + 1 : first + len(new) + 1] = self.used + np.cumsum(sizes)
         self.used += len(ids)
+        self.chars += sum(map(len, new))
         self.known.update(zip(new, range(first, first + len(new)), strict=True))
 
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text; the pieces of all of them that are new are encoded in one call."""
-        if len(self.known) > self.limit:
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's begin; the pieces that are new are encoded in one call."""
+        if len(self.known) > self.limit or self.chars > CACHE_CHARS:
             self.clear()
-        pieces: list[str] = []
-        counts = [0]
-        for t in texts:
-            if t:
-                pieces += self.pieces(t)
-            counts.append(len(pieces))
-        known = self.known
-        numbers = list(map(known.get, pieces))
+        flat, at = self.pieces(texts)
+        coded = flat.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        numbers = list(map(self.known.get, distinct))
         if None in numbers:
-            self.learn([p for p in dict.fromkeys(pieces) if p not in known])
-            numbers = list(map(known.__getitem__, pieces))
-        k = np.array(numbers, np.int64)
+            self.learn([p for p, k in zip(distinct, numbers, strict=True) if k is None])
+            numbers = list(map(self.known.__getitem__, distinct))
+        k = np.array(numbers, np.int64)[coded.indices.to_numpy()]
         start = self.at[k]
         size = self.at[k + 1] - start
-        after = np.cumsum(size)
-        total = int(after[-1]) if len(after) else 0
-        ids = self.flat[np.repeat(start - (after - size), size) + np.arange(total)]
-        edges = np.concatenate([[0], after])[counts]
-        return [ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        after = np.concatenate([[0], np.cumsum(size)])
+        ids = self.flat[np.repeat(start - after[:-1], size) + np.arange(after[-1])]
+        return ids, after[at]
 
     def encode(self, text: str) -> np.ndarray:
-        return self.encode_all([text])[0]
+        return self.encode_all(pa.array([text], pa.large_string()))[0]
 
 
 @lru_cache(maxsize=1)
@@ -167,21 +180,21 @@ def _file_system(uri: str):
     return fs.FileSystem.from_uri(uri if re.match(r"\w+:", uri) else f"file://{uri}")
 
 
-#: Characters of text encoded together.
-GROUP_CHARS = 1 << 20
+#: Bytes of text encoded together; a longer text is encoded alone.
+GROUP_BYTES = 8 << 20
 
 
 def encoded(encoder: PieceEncoder, batch: pa.RecordBatch) -> Iterator[tuple[int | None, np.ndarray]]:
-    keys, texts = batch.column(0), batch.column(1)
-    group: list[str] = []
-    first = chars = 0
-    for i in range(batch.num_rows):
-        group.append(texts[i].as_py())
-        chars += len(group[-1])
-        if chars >= GROUP_CHARS or i == batch.num_rows - 1:
-            for j, ids in enumerate(encoder.encode_all(group)):
-                yield keys[first + j].as_py(), ids
-            group, first, chars = [], i + 1, 0
+    keys, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.large_string())
+    size = np.cumsum(pc.binary_length(texts).to_numpy())
+    first = 0
+    while first < len(keys):
+        base = size[first - 1] if first else 0
+        end = max(first + 1, int(np.searchsorted(size, base + GROUP_BYTES, "right")))
+        ids, at = encoder.encode_all(texts.slice(first, end - first))
+        for j in range(first, end):
+            yield keys[j], ids[at[j - first] : at[j - first + 1]]
+        first = end
 
 
 def write_records(documents: DataFrame, folder: str, tokenizer: str, *, key: str = "doc_id", text: str = "text", end_id: int | None = END_ID, file_bytes: int = FILE_BYTES, partitions: int | None = None) -> DataFrame:
@@ -236,6 +249,8 @@ def read_records(spark: SparkSession, folder: str, function, schema: str) -> Dat
     """
     index = spark.read.schema(INDEX).parquet(f"{folder}/index")
     files = index.groupBy("part", "file").agg(F.sum("size").alias("bytes"), F.sum("n_ids").alias("ids"))
+    # Rows here are small and files are not: as many tasks as the index has parts (one per writing task), never joined into fewer.
+    files = files.repartition(max(1, len(index.inputFiles())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
