@@ -213,18 +213,45 @@ def test_toxicity(spark):
     assert toxicity.train(docs, labels.limit(0)).score(np.zeros(0, np.uint8), np.array([0, 0]))[0] == pytest.approx(0.5)
 
 
-def test_counterfactual_penalty():
-    """A group named in toxic texts only by chance moves the score less the stronger swaps are penalised."""
-    a, bad = toxicity.feature_of("muslims"), toxicity.feature_of("vile")
-    doc, feature, labels = [], [], []
-    for i in range(200):
-        labels.append(float(i % 2))
-        found = ([bad, a] if i % 2 else [a] if i % 10 == 0 else []) + [7]
-        doc += [i] * len(found)
-        feature += found
-    args = (np.array(labels), np.array(doc), np.array(feature))
-    free, held = toxicity.fit(*args, swap=0.0), toxicity.fit(*args, swap=5.0)
-    assert abs(held.weights[a]) < abs(free.weights[a]) and held.weights[bad] > 0
+def _mentions(n, seed):
+    """Labelled sentences whose toxic ones name one group far more often than chance, with no fault of the group's name."""
+    rng = np.random.default_rng(seed)
+    plain = ["market", "garden", "music", "school", "river", "letter", "winter", "kitchen"]
+    out = []
+    for i in range(n):
+        toxic = i % 4 == 0
+        words = list(rng.choice(plain, 5)) + (["vile"] if toxic and rng.random() < 0.7 else [])
+        words.append("muslims" if rng.random() < (0.8 if toxic else 0.05) else str(rng.choice(["christians", "believers", "buddhists"])))
+        out.append((i, "A line first. " + " ".join(words) + ".", int(toxic)))
+    return out
+
+
+def test_counterfactual_penalty(spark):
+    """Swapping groups in labelled sentences lowers the false-positive rate on neutral mentions of the group."""
+    assert toxicity.counterfactuals("Nothing. The Women sing! Bye") == [(" The Women sing", f" The {t} sing") for t in toxicity.IDENTITIES["gender"] if t != "women"]
+    rows = _mentions(600, 3)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    neutral = spark.createDataFrame([(i, f"Muslims at the {w} today.") for i, w in enumerate(["market", "garden", "music", "school", "river", "letter", "winter", "kitchen"])], "doc_id long, text string")
+    held = spark.createDataFrame([(i, t, y) for i, t, y in _mentions(200, 9) if "vile" in t or not y], "doc_id long, text string, y int")
+    rates, hits = [], []
+    for penalty in (0.0, toxicity.SWAP_PENALTY):
+        model = toxicity.train(docs, labels, swap=penalty)
+        rates.append(toxicity.scored(neutral, model).agg(F.avg("predicted")).first()[0])
+        hits.append(toxicity.scored(held, model).where("predicted = y").count() / held.count())
+    assert rates[0] >= 0.8 and rates[1] <= 0.1, rates
+    assert hits[1] > 0.95, hits
+
+
+def test_toxicity_edges(spark):
+    """Contrary and repeated labels, repeated documents, empty tables, clashing columns."""
+    docs = spark.createDataFrame([(i, "vile words" if i % 2 else "kind words", 1.0, "x") for i in range(40)] * 2, "doc_id long, text string, score double, _label string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(2, 1), (2, 0), (None, 1), (3, None), (999, 1)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    found = toxicity.scored(docs, model)
+    assert found.columns == ["doc_id", "text", "_label", "score", "predicted"] and found.count() == 80
+    assert found.where("predicted != doc_id % 2").count() == 0
+    assert toxicity.scored(docs.limit(0), model).count() == 0 and toxicity.train(docs.limit(0), labels).bias == pytest.approx(0.0)
 
 
 def test_fuzzy_lines(docs, spark):
