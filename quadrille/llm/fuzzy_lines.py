@@ -1,16 +1,18 @@
 """Fuzzy line dedup by MinHash, in built-in functions only.
 
 Lines are cut at \\n; lines without a visible character are never touched. A line's shingles are its runs of SHINGLE
-characters, hashed once and sorted once. Its MinHash orders are the BANDS rotations of the circle of hashes: the band of
-a rotation holds the ROWS least shingles from that rotation's point on, found by place in the one sorted array, whatever
-the length of the line. Lines that share a band are candidates, exact Jaccard on all shingles verifies them, and
-distributed union-find joins what is verified. Of each component one line stays: the one that comes first by document and
+characters. Where words are many, its signature is made of one run for each word, from its beginning (SHINGLE characters
+of it at most) to the end of the next: a choice by content that is alike in both lines of a pair; where words are few or
+long, of all shingles. They are hashed once and sorted once. The MinHash orders are BANDS rotations
+of the circle of hashes: the band of a rotation holds the ROWS least shingles from that rotation's point on, found by
+place in the one sorted array. Lines near the border between the two kinds of signature have both. Lines that share a
+band are candidates, exact Jaccard on all shingles verifies them, and distributed union-find joins what is verified. Of each component one line stays: the one that comes first by document and
 line number, in its first place only.
 
 A bucket of up to NODE_ROWS distinct lines gives its pairs. Larger buckets that share lines are united into groups. Their
 lines meet one line of each bucket; what that leaves outside a group's largest component is dealt into tiles of bounded
 size and verified against all lines of the group. Every pair of a bucket is thus verified, or joined by others: nothing is
-capped or dropped.
+capped or dropped. Pairs that share no bucket are no candidates and are passed over.
 
 Null and empty texts have no lines. A line shorter than a shingle equals only its like. Rows that repeat both key and text
 are one document and get one and the same result; documents that share or lack a key and differ in text are ordered by
@@ -26,12 +28,14 @@ from .quality import let
 from .runtime import components, discard, materialise
 
 SHINGLE, THRESHOLD = 8, 0.8
-BANDS, ROWS = 10, 3
+BANDS, ROWS = 12, 4
+#: Words, and characters to each, at the two ends of the border between the kinds of signature.
+FEW, SPARSE = (8, 14), (14, 24)
 NODE_ROWS, TILE_ROWS, TILE_CHARS = 32, 256, 1 << 20
 
 
-def shingles(line: Column, by=F.xxhash64) -> Column:
-    """Hashes of the distinct runs of SHINGLE characters; a shorter line is its own.
+def _runs(line: Column, by=F.xxhash64) -> Column:
+    """Hashes of the runs of SHINGLE characters; a shorter line is its own.
 
     As UTF-32 every character takes four bytes, so a run is cut out by its place and not by counting characters.
     """
@@ -41,22 +45,38 @@ def shingles(line: Column, by=F.xxhash64) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(raw) - (width - 1)), F.lit(4))
         return F.transform(starts, lambda i: by(F.call_function("substring", raw, i, F.lit(width))))
 
-    return F.array_distinct(let(F.encode(line, "UTF-32"), runs))
+    return let(F.encode(line, "UTF-32"), runs)
+
+
+def shingles(line: Column, by=F.xxhash64) -> Column:
+    return F.array_distinct(_runs(line, by))
+
+
+def _signed(x: int) -> int:
+    return x - ((x >> 63) << 64)
 
 
 def with_bands(lines: DataFrame, line: str = "line") -> DataFrame:
-    """Adds n (number of distinct shingles) and keys (one per band). Each step is a column of its own: generated code."""
-    marks = [((2 * j + 1) << 31) // BANDS for j in range(BANDS)]
-    x = lines.withColumn("_r", F.sort_array(shingles(F.col(line), F.crc32)))
+    """Adds keys (one per band) in one row for each kind of signature that a line has.
+
+    A signature of words needs FEW of them, one in SPARSE characters at least. Steps are columns of their own, which keeps
+    them in generated code.
+    """
+    x = lines.withColumn("_w", F.split(F.col(line), " "))
+    m, size = F.size("_w"), F.length(line)
+    words = F.transform("_w", lambda w, i: F.xxhash64(F.left(w, F.lit(SHINGLE)), F.get("_w", i + 1)))
+    kinds = F.filter(F.array(F.when((m >= FEW[0]) & (m * SPARSE[1] >= size), words), F.when((m < FEW[1]) | (m * SPARSE[0] < size), _runs(F.col(line)))), lambda h: h.isNotNull())
+    x = x.withColumn("_r", F.explode(kinds)).drop("_w").withColumn("_r", F.sort_array(F.array_distinct("_r")))
+    marks = [_signed(((2 * j + 1) << 63) // BANDS) for j in range(BANDS)]
+    marks.sort()
     # Among the sorted hashes and points, a point's place tells how many hashes are less than it.
-    x = x.withColumns({"n": F.size("_r"), "_s": F.sort_array(F.concat("_r", F.array(*(F.lit(m).cast("long") for m in marks)))), "_w": F.concat("_r", F.slice("_r", 1, ROWS))})
-    x = x.withColumns({f"_p{j}": (F.array_position("_s", F.lit(m).cast("long")) - (j + 1)).cast("int") for j, m in enumerate(marks)})
+    x = x.withColumns({"_s": F.sort_array(F.concat("_r", F.array(*map(F.lit, marks)))), "_w": F.concat("_r", F.slice("_r", 1, ROWS)), "_n": F.size("_r")})
 
-    def band(j: int) -> Column:
-        at = F.col(f"_p{j}")
-        return F.xxhash64(F.lit(j), *(F.get("_w", F.when(at >= F.col("n"), i).otherwise(at + i)) for i in range(ROWS)))
+    def band(j: int, m: int) -> Column:
+        at = F.pmod(F.array_position("_s", F.lit(m)).cast("int") - (j + 1), F.col("_n"))
+        return F.xxhash64(F.lit(j), F.slice("_w", at + 1, F.lit(ROWS)))
 
-    return x.withColumn("keys", F.array(*(band(j) for j in range(BANDS)))).drop("_r", "_s", "_w", *(f"_p{j}" for j in range(BANDS)))
+    return x.withColumn("keys", F.array(*(band(j, m) for j, m in enumerate(marks)))).drop("_r", "_s", "_w", "_n")
 
 
 def _could(a: Column, b: Column, threshold: float) -> Column:
@@ -66,15 +86,18 @@ def _could(a: Column, b: Column, threshold: float) -> Column:
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """pairs (x, y) of line hashes -> edges (a, b) of lines that reach the threshold."""
-    both = pairs.join(texts.select(F.col("a").alias("x"), F.col("u").alias("a"), F.col("line").alias("_x")), "x")
-    both = both.join(texts.select(F.col("a").alias("y"), F.col("u").alias("b"), F.col("line").alias("_y")), "y")
-    sets = both.select("a", "b", shingles(F.col("_x")).alias("_x"), shingles(F.col("_y")).alias("_y"))
+    sizes = texts.select("a", "n")
+    pairs = pairs.join(sizes.select(F.col("a").alias("x"), F.col("n").alias("xn")), "x").join(sizes.select(F.col("a").alias("y"), F.col("n").alias("yn")), "y")
+    pairs = materialise(pairs.where(_could(F.col("xn"), F.col("yn"), threshold)).select("x", "y").distinct(), "line-close")
+    both = pairs.join(texts.select(F.col("a").alias("x"), F.col("u").alias("a"), F.col("n").alias("xn"), F.col("line").alias("_x")), "x")
+    both = both.join(texts.select(F.col("a").alias("y"), F.col("u").alias("b"), F.col("n").alias("yn"), F.col("line").alias("_y")), "y")
+    sets = both.select("a", "b", "xn", "yn", _runs(F.col("_x")).alias("_x"), _runs(F.col("_y")).alias("_y"))
     sets = sets.withColumn("_n", F.size(F.array_intersect("_x", "_y")))
-    return sets.where(F.col("_n") >= threshold * (F.size("_x") + F.size("_y") - F.col("_n")) - 1e-9).select("a", "b")
+    return sets.where(F.col("_n") >= threshold * (F.col("xn") + F.col("yn") - F.col("_n")) - 1e-9).select("a", "b")
 
 
 def _joined(items: Column, threshold: float) -> Column:
-    """Labels of a tile's lines (u, c, side, s): places of lines, equal where lines have one c or are linked by a chain of pairs.
+    """Labels of a tile's lines (u, c, k, side, s): places of lines, equal where lines have one c or are linked by a chain of pairs.
 
     A line is compared with those before it, but not with lines whose label it bears or has just found.
     """
@@ -84,7 +107,7 @@ def _joined(items: Column, threshold: float) -> Column:
 
         def similar(p: Column, q: Column) -> Column:
             a, b = F.size(p["s"]), F.size(q["s"])
-            return F.when(_could(a, b, threshold), let(F.size(F.array_intersect(p["s"], q["s"])), lambda both: both >= threshold * (a + b - both) - 1e-9)).otherwise(False)
+            return F.when(_could(a, b, threshold) & F.arrays_overlap(p["k"], q["k"]), let(F.size(F.array_intersect(p["s"], q["s"])), lambda both: both >= threshold * (a + b - both) - 1e-9)).otherwise(False)
 
         def step(labels: Column, i: Column) -> Column:
             def meet(found: Column, k: Column) -> Column:
@@ -103,7 +126,7 @@ def _joined(items: Column, threshold: float) -> Column:
 
 
 def _tiled(dealt: DataFrame, threshold: float) -> DataFrame:
-    """dealt: lines (g, u, c, line) of groups g, joined as far as c says -> links (a, b) that join what pairs of a group join.
+    """dealt: lines (g, u, c, k, line) of groups g, in buckets k, joined as far as c says -> links (a, b) that join what pairs of a group join.
 
     The largest component of a group is joined already, so only the lines outside it meet all others. A tile pair gives a
     row for each line that it links, never one for each pair.
@@ -123,11 +146,11 @@ def _tiled(dealt: DataFrame, threshold: float) -> DataFrame:
     # Tiles of the lines outside are numbered from 0, those of the largest component from `few` on.
     t = t.withColumn("t", F.when(F.col("main"), own + F.col("few")).otherwise(own))
     others = F.sequence(F.lit(0), F.when(F.col("main"), F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)
-    t = t.select("g", "u", "c", "line", "t", F.explode(others).alias("o"))
+    t = t.select("g", "u", "c", "k", "line", "t", F.explode(others).alias("o"))
     # Side 2 marks the lines of a tile that is paired with itself.
     side = F.when(F.col("t") == F.col("o"), 2).when(F.col("t") < F.col("o"), 0).otherwise(1)
-    t = t.groupBy("g", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j")).agg(F.collect_list(F.struct("u", "c", side.alias("side"), "line")).alias("x"))
-    sets = F.transform("x", lambda p: F.struct(p["u"].alias("u"), p["c"].alias("c"), p["side"].alias("side"), shingles(p["line"]).alias("s")))
+    t = t.groupBy("g", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j")).agg(F.collect_list(F.struct("u", "c", "k", side.alias("side"), "line")).alias("x"))
+    sets = F.transform("x", lambda p: F.struct(p["u"].alias("u"), p["c"].alias("c"), p["k"].alias("k"), p["side"].alias("side"), shingles(p["line"]).alias("s")))
     t = t.where(F.size("x") > 1).select("x", _joined(sets, threshold).alias("labels"))
     t = t.select(F.explode(F.transform("x", lambda p, k: F.struct(p.alias("p"), F.get(F.col("x"), F.get("labels", k).cast("int")).alias("q")))).alias("e"))
     return materialise(t.where("e.p.c != e.q.c").select(F.col("e.p.u").alias("a"), F.col("e.q.u").alias("b")), "line-tiles")
@@ -144,33 +167,35 @@ def line_classes(documents: DataFrame, *, key: str = "doc_id", text: str = "text
     (how often), root (a, b and first place of its component's first line).
     """
     rows = _lines(documents, key, text)
-    signed = materialise(with_bands(rows).select("id", "th", "at", "a", "b", "n", "keys"), "line-rows")
+    signed = materialise(with_bands(rows).select("id", "th", "at", "a", "b", "keys"), "line-rows")
+    # A line with signatures of both kinds has two rows.
     lines = materialise(signed.groupBy("a", "b").agg(F.min(F.struct("id", "th", "at")).alias("first"), F.count("*").alias("n")), "line-distinct")
-    keys = signed.select("a", "n", F.explode("keys").alias("k"))
+    keys = signed.select("a", F.explode("keys").alias("k"))
     # A bucket of more than one line has a least and a greatest hash; equal lines share theirs.
     shared = keys.groupBy("k").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low != high").select("k", "low")
     shared = materialise(shared, "line-nodes")
-    members = materialise(keys.join(shared, "k").select("k", "low", "a", "n").distinct(), "line-members")
+    members = materialise(keys.join(shared, "k").select("k", "low", "a").distinct(), "line-members")
     sizes = materialise(members.groupBy("k").agg(F.count("*").alias("m")).where(F.col("m") > NODE_ROWS).select("k"), "line-buckets")
     large = not sizes.isEmpty()
     small = members.join(sizes, "k", "left_anti") if large else members
-    x, y = small.select("k", F.col("a").alias("x"), F.col("n").alias("xn")), small.select("k", F.col("a").alias("y"), F.col("n").alias("yn"))
-    pairs = x.join(y, "k").where((F.col("x") < F.col("y")) & _could(F.col("xn"), F.col("yn"), threshold)).select("x", "y")
+    x, y = small.select("k", F.col("a").alias("x")), small.select("k", F.col("a").alias("y"))
+    pairs = x.join(y, "k").where("x < y").select("x", "y")
     if large:
-        big = materialise(members.join(sizes, "k").select("low", "a", "n").distinct(), "line-big")
+        big = materialise(members.join(sizes, "k").select("k", "low", "a"), "line-big")
         pairs = pairs.union(big.where("low != a").select(F.col("low").alias("x"), F.col("a").alias("y")))
     pairs = materialise(pairs.distinct(), "line-pairs")
     discard(shared, members)
     wanted = pairs.select(F.col("x").alias("a")).union(pairs.select(F.col("y").alias("a"))).distinct()
     texts = rows.select("a", "b", "line").join(wanted, "a", "left_semi").groupBy("a", "b").agg(F.first("line").alias("line"))
-    texts = materialise(texts.join(lines.select("a", "b", "first"), ["a", "b"]).select("a", F.struct("first", "a", "b").alias("u"), "line"), "line-texts")
+    texts = materialise(texts.join(lines.select("a", "b", "first"), ["a", "b"]).select("a", F.struct("first", "a", "b").alias("u"), F.size(shingles(F.col("line"))).alias("n"), "line"), "line-texts")
     edges = materialise(_verified(pairs, texts, threshold), "line-edges")
     if large:
         nodes = texts.select("a", "u")
-        both = big.join(nodes, "a").join(nodes.select(F.col("a").alias("low"), F.col("u").alias("l")), "low")
+        buckets = nodes.join(big.groupBy("a").agg(F.collect_set("k").alias("k")), "a").select("u", "k")
+        both = big.select("low", "a").distinct().join(nodes, "a").join(nodes.select(F.col("a").alias("low"), F.col("u").alias("l")), "low")
         groups = components(both.select(F.col("u").alias("a"), F.col("l").alias("b"))).select(F.col("node").alias("u"), F.col("root").alias("g"))
         near = components(edges)
-        dealt = groups.join(near, F.col("u") == F.col("node"), "left").select("g", "u", F.coalesce("root", "u").alias("c")).join(texts.select("u", "line"), "u")
+        dealt = groups.join(near, F.col("u") == F.col("node"), "left").select("g", "u", F.coalesce("root", "u").alias("c")).join(buckets, "u").join(texts.select("u", "line"), "u")
         edges = edges.union(_tiled(materialise(dealt, "line-groups"), threshold))
         discard(big)
     roots = materialise(components(edges).where("node != root").select(F.col("node.a").alias("a"), F.col("node.b").alias("b"), "root"), "line-roots")
