@@ -8,20 +8,22 @@ split into its bound and unbound rows, which keeps the bulk an equi-join.
 from __future__ import annotations
 
 import datetime
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import terms as t
 from ..functions.expressions import Compiler, Context, Value
 from ..operators.aggregates import aggregate
-from ..operators.paths import Paths, cut, normalise
+from ..operators.paths import Paths, normalise
 from ..sources.dataset import Dataset
 from . import algebra as A
+from .correlate import Correlation, sees_outer
 
 
 @dataclass
@@ -83,13 +85,13 @@ class PatternCompiler:
         now = datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
         self.context = Context(base, now, self.options.functions)
         self.graph: tuple | None = None
-        self.sizes: dict[str, int] = {}
+        self.correlation = Correlation(self)
 
     # -- scans
 
-    def quads(self, predicate: str | None) -> DataFrame:
-        """Rows of the active graph: (g, s, p, o) under GRAPH ?g, else (s, p, o)."""
-        q = self.dataset.scan(predicate)
+    def quads(self, predicate: str | None, subject: str | None = None) -> DataFrame:
+        """Rows of the active graph: (g, s, p, o) under GRAPH ?g, else (s, p, o); subject: all that is wanted, if known."""
+        q = self.dataset.scan(predicate, subject)
         if self.graph is None:
             if self.default_graphs is not None:
                 q = q.where(F.col("g").isin(*self.default_graphs)) if self.default_graphs else q.where(F.lit(False))
@@ -109,10 +111,15 @@ class PatternCompiler:
     def one(self) -> Rel:
         return Rel(self.spark.range(1).select(), [], set())
 
+    @staticmethod
+    def equals(c: Column, x: tuple) -> Column:
+        want = t.constant(x)
+        return (c["k"] == want["k"]) & (c["lex"] == want["lex"]) & c["dt"].eqNullSafe(want["dt"]) & c["lang"].eqNullSafe(want["lang"]) & c["dir"].eqNullSafe(want["dir"])
+
     def triple(self, pattern: tuple) -> Rel:
         s, p, o = pattern
         predicate = p[1] if p[0] == "iri" else None
-        q = self.quads(predicate)
+        q = self.quads(predicate, s[1] if s[0] == "iri" else None)
         extra: list[tuple[Column, tuple]] = []
         cols: dict[str, Column] = {}
         places = [(F.col("s"), s), (t.iri(F.col("p")), p), (F.col("o"), o)]
@@ -130,8 +137,7 @@ class PatternCompiler:
             elif x[0] == "triple" and _expressions(x):
                 extra.append((c, x))
             else:
-                want = t.constant(x)
-                q = q.where((c["k"] == want["k"]) & (c["lex"] == want["lex"]) & c["dt"].eqNullSafe(want["dt"]) & c["lang"].eqNullSafe(want["lang"]) & c["dir"].eqNullSafe(want["dir"]))
+                q = q.where(self.equals(c, x))
         if not extra:
             return Rel(q.select(*(c.alias(n) for n, c in cols.items())), list(cols), set(cols))
         for i, (c, x) in enumerate(extra):
@@ -151,29 +157,86 @@ class PatternCompiler:
                 todo += [(inner[n], y) for n, y in zip("spo", x[1:], strict=True)]
                 checks.append(inner.isNotNull())
             else:
-                want = t.constant(x)
-                checks.append((c["k"] == want["k"]) & (c["lex"] == want["lex"]) & c["dt"].eqNullSafe(want["dt"]) & c["lang"].eqNullSafe(want["lang"]))
+                checks.append(self.equals(c, x))
         for check in checks:
             q = q.where(check)
         return Rel(q.select(*(c.alias(n) for n, c in rel_cols.items())), list(rel_cols), set(rel_cols))
 
+    def estimate(self, tr: tuple) -> tuple[float, dict[str, float]]:
+        """Estimated rows of a pattern and distinct values of its variables."""
+        s, p, o = tr
+        size = self.dataset.size(p[1] if p[0] == "iri" else None)
+        rows = float(size.rows)
+        for x, distinct in ((s, size.subjects), (o, size.objects)):
+            if x[0] != "var":
+                rows /= max(1, distinct)
+        rows = max(rows, 0.1)
+        return rows, {x[1]: max(1.0, min(rows, d)) for x, d in ((p, 50), (o, size.objects), (s, size.subjects)) if x[0] == "var"}
+
+    def ordered(self, triples: list[tuple]) -> list[tuple]:
+        """The join order of least estimated intermediate rows, by dynamic programming over sets of patterns."""
+        if len(triples) < 3:
+            return sorted(triples, key=lambda tr: (sum(x[0] == "var" for x in tr), tr[1][0] == "var"))
+        stats = [(self.estimate(tr), set(_expressions(tr))) for tr in triples]
+        best: dict[int, tuple[float, float, dict[str, float], tuple[int, ...]]] = {1 << i: (e[0], e[0], e[1], (i,)) for i, (e, _) in enumerate(stats)}
+        for _ in range(len(triples) - 1):
+            grown: dict[int, tuple[float, float, dict[str, float], tuple[int, ...]]] = {}
+            for have, (cost, rows, distinct, order) in best.items():
+                known = set().union(*(stats[i][1] for i in order))
+                rest = [i for i in range(len(triples)) if not have >> i & 1]
+                # A pattern that shares a variable comes before one that does not.
+                for i in [i for i in rest if stats[i][1] & known] or rest:
+                    (r, d), names = stats[i]
+                    out = rows * r
+                    for n in names & known:
+                        out /= max(distinct.get(n, 1.0), d.get(n, 1.0))
+                    merged = {n: max(1.0, min(out, distinct.get(n, math.inf), d.get(n, math.inf))) for n in {*distinct, *d}}
+                    state = (cost + out, out, merged, (*order, i))
+                    if (now := grown.get(have | 1 << i)) is None or state[0] < now[0]:
+                        grown[have | 1 << i] = state
+            # Of very many patterns only the cheapest beginnings are carried on.
+            best = dict(sorted(grown.items(), key=lambda kv: kv[1][0])[:2000])
+        return [triples[i] for i in min(best.values(), key=lambda v: v[0])[3]]
+
+    def star(self, triples: list[tuple]) -> Rel | None:
+        """Patterns of one subject variable read side by side in one scan, where the dataset can."""
+        if self.default_graphs is not None or (self.graph is None and self.options.union_default_graph) or self.graph and self.graph[0] == "var":
+            return None
+        if len(triples) < 2 or any(tr[1][0] != "iri" or tr[2][0] == "triple" for tr in triples):
+            return None
+        q = self.dataset.star([tr[1][1] for tr in triples])
+        if q is None:
+            return None
+        if self.graph and self.named_graphs is not None and self.graph[1] not in self.named_graphs:
+            q = q.where(F.lit(False))
+        q = q.where("g IS NULL") if self.graph is None else q.where(F.col("g") == self.graph[1])
+        cols = {triples[0][0][1]: F.col("s")}
+        for i, (_, _, o) in enumerate(triples):
+            c = F.col(f"o{i}")
+            if o[0] != "var":
+                q = q.where(self.equals(c, o))
+            elif o[1] in cols:
+                q = q.where(cols[o[1]] == c)
+            else:
+                cols[o[1]] = c
+        return Rel(q.select(*(c.alias(n) for n, c in cols.items())), list(cols), set(cols))
+
     def bgp(self, node: A.Bgp) -> Rel:
-        left = list(dict.fromkeys(node.triples))
+        left = self.ordered(list(dict.fromkeys(node.triples)))
         if not left:
             return self.graph_unit()
-        seen: set[str] = set()
         rel: Rel | None = None
         while left:
-            # The most selective pattern first, then always one that shares a variable, if there is one.
-            def rank(tr: tuple) -> tuple:
-                names = set(_expressions(tr))
-                return (bool(seen) and bool(names) and not names & seen, sum(x[0] == "var" for x in tr), tr[1][0] == "var", -len(names & seen))
-
-            best = min(left, key=rank)
-            left.remove(best)
-            nxt = self.triple(best)
-            rel = nxt if rel is None else self.join(rel, nxt)
-            seen |= set(nxt.names)
+            first = left[0]
+            group = [tr for tr in left if tr[0] == first[0]] if first[0][0] == "var" else []
+            # The largest part of the star around this subject that one scan gives.
+            made = None
+            while len(group) > 1 and (made := self.star(group)) is None:
+                group.pop()
+            if made is None:
+                group, made = [first], self.triple(first)
+            left = [tr for tr in left if tr not in group]
+            rel = made if rel is None else self.join(rel, made)
         return rel
 
     def graph_unit(self) -> Rel:
@@ -263,20 +326,24 @@ class PatternCompiler:
         return cols
 
     def left_join(self, left: Rel, right: Rel, condition: tuple | None) -> Rel:
+        shared = [n for n in left.names if n in right.names]
+        if (condition is not None and _find_exists(condition)) or not all(n in right.bound for n in shared):
+            # Where the right side may lack a shared variable, or the condition looks further: join, then add what found nothing.
+            rows, row = self.correlation.number(left)
+            matched = self.join(rows, right)
+            if condition is not None:
+                matched = self.filter(matched, condition)
+            return self.correlation.otherwise(rows, matched, row)
         m = "__r_"
         cols = self.merged(left, right, m)
         names = list(cols)
         parts = []
-        maybe = [n for n in left.names if n in right.names and n not in left.bound]
+        maybe = [n for n in shared if n not in left.bound]
         for part, gone in self.split(left, maybe):
             # Within a part each shared variable is bound, or unbound, on all rows.
             own = Rel(part.df, left.names, left.bound | (set(maybe) - gone))
-            extra = None
-            if condition is not None:
-                merged = self.merged(own, right, m)
-                extra = Compiler(merged, self.context, {}).value(condition).bool() if not _find_exists(condition) else None
-            visible = Rel(right.df, right.names, right.bound)
-            renamed, on, _ = self._condition(Rel(own.df, [n for n in own.names if n not in gone], own.bound), visible, extra, m)
+            extra = None if condition is None else Compiler(self.merged(own, right, m), self.context, {}).value(condition).bool()
+            renamed, on, _ = self._condition(Rel(own.df, [n for n in own.names if n not in gone], own.bound), right, extra, m)
             df = own.df.join(renamed, on, "left")
             parts.append(df.select(*(c.alias(n) for n, c in cols.items())))
         return Rel(reduce(DataFrame.union, parts), names, set(left.bound))
@@ -285,22 +352,27 @@ class PatternCompiler:
         shared = [n for n in left.names if n in right.names]
         if not shared:
             return left
-        if all(n in left.bound and n in right.bound for n in shared):
-            return Rel(left.df.join(right.df.select(*(right.col(n) for n in shared)).distinct(), shared, "left_anti"), left.names, left.bound)
-        m = "__r_"
-        renamed, on, _ = self._condition(left, right, None, m)
-        some = reduce(lambda p, q: p | q, (F.col(f"`{n}`").isNotNull() & F.col(f"`{m}{n}`").isNotNull() for n in shared))
-        return Rel(left.df.join(renamed, on & some, "left_anti"), left.names, left.bound)
+        removed = []
+        for b, gone_b in self.split(right, [n for n in shared if n not in right.bound]):
+            removed.append((b.df, gone_b))
+        parts = []
+        for a, gone_a in self.split(left, [n for n in shared if n not in left.bound]):
+            df = a.df
+            for rows, gone_b in removed:
+                # Rows that share no bound variable with the left ones remove nothing.
+                if keys := [n for n in shared if n not in gone_a and n not in gone_b]:
+                    df = df.join(rows.select(*(F.col(f"`{n}`") for n in keys)).distinct(), keys, "left_anti")
+            parts.append(df.select(*(left.col(n) for n in left.names)))
+        return Rel(reduce(DataFrame.union, parts), left.names, left.bound)
 
     def semi(self, left: Rel, pattern: A.Node, keep: bool) -> Rel:
-        """Rows with (keep) or without a compatible solution of the pattern; its filters see the row's variables."""
-        conditions = []
-        while isinstance(pattern, A.Filter):
-            inner = set(A.variables(pattern.child))
-            if set(_expressions(pattern.condition)) <= inner or _find_exists(pattern.condition):
-                break
+        """Rows with (keep) or without a compatible solution of the pattern, whose parts see the row's variables."""
+        whole, conditions = pattern, []
+        while isinstance(pattern, A.Filter) and not _find_exists(pattern.condition) and not set(_expressions(pattern.condition)) <= set(A.variables(pattern.child)):
             conditions.append(pattern.condition)
             pattern = pattern.child
+        if sees_outer(pattern, set(left.names)):
+            return self.correlation.matching(left, whole, keep)
         right = self.compile(pattern)
         how = "left_semi" if keep else "left_anti"
         shared = [n for n in left.names if n in right.names]
@@ -310,6 +382,8 @@ class PatternCompiler:
                 found = right.df.limit(1).select(F.lit(1).alias("__one"))
                 return Rel(left.df.join(found, F.lit(True), how), left.names, left.bound)
             return Rel(left.df.join(right.df.select(*(right.col(n) for n in shared)), shared, how), left.names, left.bound)
+        if not conditions:
+            return self.correlation.matching(left, whole, keep)
         m = "__r_"
         extra = None
         for c in conditions:
@@ -321,17 +395,19 @@ class PatternCompiler:
     # -- expressions
 
     def with_flags(self, rel: Rel, e: tuple) -> tuple[Rel, dict, list[str]]:
-        """Adds a boolean column for each EXISTS that stands within an expression."""
+        """Adds a boolean column for each EXISTS that stands within an expression; its pattern is evaluated once."""
         flags, added = {}, []
         for i, x in enumerate(_find_exists(e)):
             name = f"__exists{i}"
-            yes = self.semi(rel, x[1], True)
-            no = self.semi(rel, x[1], False)
-            df = yes.df.withColumn(name, F.lit(True)).union(no.df.withColumn(name, F.lit(False)))
+            rows, row = self.correlation.number(rel)
+            found = self.semi(rows, x[1], True).df.select(row, F.lit(True).alias(name))
+            df = rows.df.join(found, row, "left").withColumn(name, F.coalesce(name, F.lit(False))).drop(row)
             rel = Rel(df, rel.names, rel.bound)
+            # A later flag numbers the rows anew and has to keep this one.
+            rel.names = [*rel.names, name]
             flags[id(x)] = F.col(name)
             added.append(name)
-        return rel, flags, added
+        return Rel(rel.df, [n for n in rel.names if n not in added], rel.bound), flags, added
 
     def compiler(self, rel: Rel, flags: dict | None = None) -> Compiler:
         return Compiler({n: rel.col(n) for n in rel.names}, self.context, flags)
@@ -387,11 +463,9 @@ class PatternCompiler:
             case A.Join():
                 return self.join(self.compile(node.left), self.compile(node.right))
             case A.LeftJoin():
-                if node.condition is not None and _find_exists(node.condition):
-                    return self.left_join(self.compile(node.left), self.filter(self.compile(node.right), node.condition), None)
                 return self.left_join(self.compile(node.left), self.compile(node.right), node.condition)
             case A.Lateral():
-                return self.lateral(node)
+                return self.correlation.lateral(self.compile(node.left), node.right)
             case A.Filter():
                 return self.filter(self.compile(node.child), node.condition)
             case A.Union():
@@ -399,16 +473,7 @@ class PatternCompiler:
             case A.Graph():
                 return self.in_graph(node)
             case A.Extend():
-                rel, flags, added = self.with_flags(self.compile(node.child), node.value)
-                steps: list = []
-                value = Compiler({n: rel.col(n) for n in rel.names}, self.context, flags, steps).value(node.value).term()
-                rel = Rel(self.stepped(rel.df, steps), rel.names, rel.bound)
-                if node.name in rel.names:
-                    value = F.coalesce(rel.col(node.name), value)
-                names = rel.names if node.name in rel.names else [*rel.names, node.name]
-                df = rel.df.select(*(rel.col(n) for n in rel.names if n != node.name), value.alias(node.name))
-                bound = rel.bound | ({node.name} if node.value[0] == "const" else set())
-                return Rel(df, names, bound)
+                return self.extend(self.compile(node.child), node.name, node.value)
             case A.Minus():
                 return self.minus(self.compile(node.left), self.compile(node.right))
             case A.Values():
@@ -436,6 +501,17 @@ class PatternCompiler:
                 return self.service(node)
         raise ValueError(f"unknown node {type(node).__name__}")
 
+    def extend(self, rel: Rel, name: str, e: tuple) -> Rel:
+        rel, flags, _ = self.with_flags(rel, e)
+        steps: list = []
+        value = Compiler({n: rel.col(n) for n in rel.names}, self.context, flags, steps).value(e).term()
+        rel = Rel(self.stepped(rel.df, steps), rel.names, rel.bound)
+        if name in rel.names:
+            value = F.coalesce(rel.col(name), value)
+        names = rel.names if name in rel.names else [*rel.names, name]
+        df = rel.df.select(*(rel.col(n) for n in rel.names if n != name), value.alias(name))
+        return Rel(df, names, rel.bound | ({name} if e[0] == "const" else set()))
+
     def project(self, rel: Rel, names: tuple | list) -> Rel:
         df = rel.df.select(*((rel.col(n) if n in rel.names else t.null_term()).alias(n) for n in names))
         return Rel(df, list(names), rel.bound & set(names))
@@ -486,42 +562,12 @@ class PatternCompiler:
         finally:
             self.graph = before
 
-    def lateral(self, node: A.Lateral) -> Rel:
-        """The right side for each row of the left; its filters and slices see one left row at a time."""
-        left, right = self.compile(node.left), node.right
-        cut_rows = None
-        if isinstance(right, A.Slice):
-            cut_rows, right = right, right.child
-        keys = ()
-        names = None
-        while isinstance(right, (A.Project, A.OrderBy, A.Distinct, A.Reduced)):
-            if isinstance(right, A.Project):
-                names = right.names
-            elif isinstance(right, A.OrderBy):
-                keys = right.keys
-            right = right.child
-        conditions = []
-        while isinstance(right, A.Filter):
-            conditions.append(right.condition)
-            right = right.child
-        rows = Rel(left.df.withColumn("__row", F.monotonically_increasing_id()), left.names, left.bound)
-        rows = Rel(cut(rows.df), [*left.names, "__row"], left.bound | {"__row"})
-        rel = self.join(rows, self.compile(right))
-        for c in conditions:
-            rel = self.filter(rel, c)
-        if cut_rows is not None:
-            order = self.order(rel, keys) or [F.lit(0)]
-            n = F.row_number().over(Window.partitionBy("__row").orderBy(*order))
-            top = cut_rows.offset + cut_rows.limit if cut_rows.limit is not None else None
-            df = rel.df.withColumn("__n", n).where(F.col("__n") > cut_rows.offset)
-            rel = Rel(df.where(F.col("__n") <= top) if top is not None else df, rel.names, rel.bound)
-        keep = left.names + [n for n in (names or rel.names) if n not in left.names and n != "__row"]
-        return self.project(rel, keep)
-
     def group(self, node: A.Group) -> Rel:
-        rel = self.compile(node.child)
+        return self.grouped(self.compile(node.child), node)
+
+    def grouped(self, rel: Rel, node: A.Group) -> Rel:
         rel, values = self.staged(rel, [spec[1] for _, spec in node.aggregates])
-        row = [rel.col(n) for n in rel.names]
+        row = [rel.col(n) for n in rel.names if not n.startswith("__")]
         columns = [aggregate(spec, v, row, self.options.aggregates).alias(name) for (name, spec), v in zip(node.aggregates, values, strict=True)]
         keys = [(rel.col(k) if k in rel.names else t.null_term()).alias(k) for k in node.keys]
         names = [*node.keys, *(n for n, _ in node.aggregates)]
