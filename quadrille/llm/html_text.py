@@ -3,7 +3,8 @@
 The page becomes a tree. Parts that are no content by their element, role or class name go first; a class name, or a form,
 counts only where the part holds no article and not most of the page's paragraph text. Each remaining paragraph earns points for its length and commas, which pass in full to its parent, by half to the next ancestor and by
 less to those above. A container's points are discounted by the share of its text that stands in links. The best
-container is kept, raised to the article that holds it, with those siblings whose points come near its own.
+container is kept, raised to the article that holds it, with those siblings whose points come near its own and those
+that are plain blocks, such as lists, tables and headings, and not mostly links.
 
 Blocks of the kept parts are returned in page order, one per line, white space within them turned into single blanks.
 Null, empty and textless pages give the empty text; markup that is broken in any way is read as far as it goes. Repeated
@@ -24,6 +25,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset("address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 DROPPED = frozenset("aside audio button canvas datalist dialog embed footer head iframe input map menu meter nav noscript object option output progress script select style svg template textarea title video".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 div section article main body".split())
+PLAIN = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 ul ol dl table figure details address".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 NO_CONTENT = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion recommended related reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget".split())
 CLOSES_P = BLOCKS - {"body", "html", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "summary", "figcaption"}
@@ -79,6 +81,13 @@ class _Tree(HTMLParser):
     def unknown_decl(self, data: str) -> None:
         pass
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """A section that is no known one is a comment up to the next >, as browsers read it."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.rawdata.find(">", i) + 1 or -1
+
 
 def parse(html: str) -> Node:
     tree = _Tree()
@@ -87,22 +96,22 @@ def parse(html: str) -> Node:
     return tree.root
 
 
-def _inside(node: Node, tags: frozenset[str]) -> bool:
-    up = node.parent
-    while up is not None:
-        if up.tag in tags:
-            return True
-        up = up.parent
-    return False
+_ARTICLE = frozenset({"article", "main"})
 
 
-_ARTICLE = frozenset({"article", "main"})
+def _inside(root: Node) -> set[int]:
+    """The nodes that stand in an article."""
+    found: set[int] = set()
+    for node in _walk(root):
+        if node.parent is not None and (node.parent.tag in _ARTICLE or id(node.parent) in found):
+            found.add(id(node))
+    return found
 
 
-def _is_clutter(node: Node) -> bool:
+def _is_clutter(node: Node, inside: set[int]) -> bool:
     if node.tag in DROPPED:
         return True
-    if node.tag == "header" and not _inside(node, _ARTICLE):
+    if node.tag == "header" and id(node) not in inside:
         return True
     a = node.attrs
     if not a or node.tag in ("body", "html"):
@@ -114,7 +123,7 @@ def _is_clutter(node: Node) -> bool:
     return False
 
 
-def _named_clutter(node: Node) -> bool:
+def _named_clutter(node: Node, inside: set[int]) -> bool:
     """Does a whole class name or id, or each word of one, say that this is no content?"""
     a = node.attrs
     if not a or node.tag in ("body", "html"):
@@ -123,7 +132,7 @@ def _named_clutter(node: Node) -> bool:
         words = [w.lower() for w in _WORD.findall(token)] if token.lower() not in NO_CONTENT else [token.lower()]
         if words and NO_CONTENT.issuperset(words):
             return True
-        if token.lower() == "header" and not _inside(node, _ARTICLE) and node.tag not in _ARTICLE:
+        if token.lower() == "header" and id(node) not in inside and node.tag not in _ARTICLE:
             return True
     return False
 
@@ -138,7 +147,8 @@ def _drop(node: Node, test: Callable[[Node], bool]) -> None:
 
 def prune(root: Node) -> None:
     """Drops what is no content; names, and forms, only where neither an article nor most of the paragraphs stand in them."""
-    _drop(root, _is_clutter)
+    inside = _inside(root)
+    _drop(root, lambda node: _is_clutter(node, inside))
     nodes = _walk(root)
     text: dict[int, int] = {}
     held: dict[int, int] = {}
@@ -153,14 +163,14 @@ def prune(root: Node) -> None:
 
     def goes(node: Node) -> bool:
         form = node.tag == "form" or (node.attrs.get("role") or "").lower() == "form"
-        if node.tag in _ARTICLE or not (form or _named_clutter(node)):
+        if node.tag in _ARTICLE or not (form or _named_clutter(node, inside)):
             return False
-        inside = _inside(node, _ARTICLE)
-        if id(node) in holds and not inside:
+        within = id(node) in inside
+        if id(node) in holds and not within:
             return False
         most = 2 * text[id(node)] > text[id(root)]
         # Long comments beside an article are no content, however long.
-        return not most or not (form or inside or held[id(root)] == held[id(node)])
+        return not most or not (form or within or held[id(root)] == held[id(node)])
 
     _drop(root, goes)
 
@@ -174,17 +184,18 @@ def _walk(root: Node) -> list[Node]:
     return out
 
 
-def _length(node: Node, links_only: bool = False) -> int:
-    """Characters of text without white space around it, of all of it or of what stands in links."""
-    total, stack = 0, [(node, not links_only or node.tag == "a")]
-    while stack:
-        top, on = stack.pop()
-        for p in top.parts:
+def _lengths(root: Node) -> dict[int, tuple[int, int]]:
+    """Characters of text in each node, without white space around each piece: of all of it and of what stands in links."""
+    found: dict[int, tuple[int, int]] = {}
+    for node in reversed(_walk(root)):
+        whole = links = 0
+        for p in node.parts:
             if isinstance(p, str):
-                total += len(p.strip()) if on else 0
+                whole += len(p.strip())
             else:
-                stack.append((p, on or p.tag == "a"))
-    return total
+                whole, links = whole + found[id(p)][0], links + found[id(p)][1]
+        found[id(node)] = (whole, whole if node.tag == "a" else links)
+    return found
 
 
 def _own_text(node: Node) -> str:
@@ -199,7 +210,7 @@ def _own_text(node: Node) -> str:
     return " ".join("".join(out).split())
 
 
-def score(root: Node) -> list[Node]:
+def score(root: Node, lengths: dict[int, tuple[int, int]]) -> list[Node]:
     """Passes the paragraphs' points up the tree; returns the containers that got any, best first."""
     got: dict[int, Node] = {}
     for node in _walk(root):
@@ -216,8 +227,8 @@ def score(root: Node) -> list[Node]:
                 got[id(up)] = up
             up, level = up.parent, level + 1
     for node in got.values():
-        whole = _length(node)
-        node.points *= 1 - (_length(node, links_only=True) / whole if whole else 0)
+        whole, links = lengths[id(node)]
+        node.points *= 1 - (links / whole if whole else 0)
     return sorted(got.values(), key=lambda n: -n.points)
 
 
@@ -255,7 +266,8 @@ def main_text(html: str | None) -> str:
         return ""
     root = parse(html)
     prune(root)
-    ranked = score(root)
+    lengths = _lengths(root)
+    ranked = score(root, lengths)
     if ranked:
         best = ranked[0]
         up = best
@@ -266,8 +278,15 @@ def main_text(html: str | None) -> str:
         kept: list[Node | str] = [best]
         if best.tag not in _ARTICLE and best.parent is not None and best.tag not in ("body", "html"):
             least = max(3.0, best.points * 0.2)
-            near = [p for p in best.parent.parts if not isinstance(p, str) and p is not best and (p.points >= least or (p.tag in ("p", "blockquote", "pre") and len(_own_text(p)) >= SHORT) or p.tag in ("h1", "h2"))]
-            kept = [p for p in best.parent.parts if p is best or any(p is x for x in near)]
+
+            def stays(p: Node | str) -> bool:
+                """Siblings with points near the best's, and plain text, headings, lists and tables that are not mostly links."""
+                if isinstance(p, str) or p is best or p.points >= least:
+                    return True
+                whole, links = lengths[id(p)]
+                return 2 * links < whole and (p.tag in PLAIN or p.tag not in BLOCKS)
+
+            kept = [p for p in best.parent.parts if stays(p)]
         return "\n".join(blocks(kept))
     held = next((n for n in _walk(root) if n.tag in _ARTICLE), root)
     return "\n".join(blocks([held] if held is not root else root.parts))

@@ -355,6 +355,32 @@ def test_html_keeps_content(open_, close):
     assert text.split("\n") == [" ".join(("Words, and more words of the article. " * 9).split()), " ".join(("A second paragraph, with a comma. " * 9).split())]
 
 
+def test_html_siblings():
+    """Lists, tables, headings and short paragraphs beside the best container stay; rows of links do not."""
+    beside = "<h3>Parts</h3><ul><li>One item</li></ul><table><tr><td>1</td><td>2</td></tr></table><p>Short.</p><ul><li><a href=x>Go here</a></li></ul>"
+    text = html_text.main_text(f"<body><div><div>{BODY}</div>{beside}</div></body>").split("\n")
+    assert text[2:] == ["Parts", "One item", "1", "2", "Short."]
+
+
+@pytest.mark.parametrize("broken", ["<![foo", "<![ ", "<![if IE]>x", "<!", "<!doctype", "<a <b", "</", "&#x110000;", "&#0;", "<" * 50])
+def test_html_broken_markup(broken):
+    assert "First words, and more." in html_text.main_text(f"<body><article><p>First words, and more.</p></article>{broken}")
+
+
+def test_html_deep_page():
+    """Nesting of many levels is read in one walk."""
+    text = html_text.main_text("<div>" * 3000 + BODY + "</div>" * 3000)
+    assert text.startswith("Words, and more words")
+
+
+def test_html_tables(spark):
+    """Empty tables, repeated rows and columns with clashing names."""
+    pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "y")], "page_id long, url string, html string, main_text string")
+    found = html_text.extracted(pages)
+    assert found.columns == ["page_id", "url", "html", "main_text"] and [r["main_text"][:4] for r in found.collect()] == ["Head", "Head"]
+    assert html_text.extracted(pages.limit(0)).count() == 0
+
+
 def test_html_drops_named_clutter():
     comments = "<div class=comments>" + "<p>I disagree, with all of this, for long reasons.</p>" * 50 + "</div>"
     for part in (comments, "<div id=comments><article class=comment-body><p>I disagree, with all of this.</p></article></div>"):
