@@ -31,7 +31,7 @@ SHINGLE, THRESHOLD = 8, 0.8
 BANDS, ROWS = 12, 4
 #: Words, and characters to each, at the two ends of the border between the kinds of signature.
 FEW, SPARSE = (8, 14), (14, 24)
-NODE_ROWS, TILE_ROWS, TILE_CHARS = 32, 256, 1 << 20
+NODE_ROWS, TILE_ROWS, TILE_CHARS = 128, 256, 1 << 20
 
 
 def _runs(line: Column, by=F.xxhash64) -> Column:
@@ -186,8 +186,10 @@ def line_classes(documents: DataFrame, *, key: str = "doc_id", text: str = "text
     pairs = materialise(pairs.distinct(), "line-pairs")
     discard(shared, members)
     wanted = pairs.select(F.col("x").alias("a")).union(pairs.select(F.col("y").alias("a"))).distinct()
-    texts = rows.select("a", "b", "line").join(wanted, "a", "left_semi").groupBy("a", "b").agg(F.first("line").alias("line"))
-    texts = materialise(texts.join(lines.select("a", "b", "first"), ["a", "b"]).select("a", F.struct("first", "a", "b").alias("u"), F.size(shingles(F.col("line"))).alias("n"), "line"), "line-texts")
+    # A line's text is taken where it stands first; a repeated document has that place twice.
+    named = materialise(lines.join(wanted, "a", "left_semi").select("a", "b", "first"), "line-named")
+    texts = rows.join(named, ["a", "b"]).where(F.struct("id", "th", "at").eqNullSafe(F.col("first"))).select("a", F.struct("first", "a", "b").alias("u"), "line")
+    texts = materialise(texts.dropDuplicates(["u"]).withColumn("n", F.size(shingles(F.col("line")))), "line-texts")
     edges = materialise(_verified(pairs, texts, threshold), "line-edges")
     if large:
         nodes = texts.select("a", "u")

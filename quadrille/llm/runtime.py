@@ -9,11 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Tables written between two collections of the driver's garbage.
-COLLECT_EVERY = 3
-_written = 0
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, set here only where the cluster names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -33,15 +28,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df once to the shared folder and reads it back: its lineage is cut and survives lost executors.
 
     A plain scan on either side of a later join also lets adaptive execution split hot partitions. The driver's garbage is
-    collected now and then, as Spark deletes the shuffle files of a finished step only when its plan is collected.
+    collected then, as Spark deletes the shuffle files of a finished step only when its plan is collected.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    global _written
-    _written += 1
-    if _written % COLLECT_EVERY == 0:
-        spark.sparkContext._jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
