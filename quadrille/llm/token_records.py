@@ -40,7 +40,7 @@ MASK_DELTA = 0xA282EAD8
 #: Bytes after which a task starts its next data file.
 FILE_BYTES = 64 << 20
 #: Distinct text pieces a worker keeps encoded, and their characters; when full, it starts anew. It bounds memory, not what is encoded.
-CACHE_PIECES, CACHE_CHARS = 800_000, 64 << 20
+CACHE_PIECES, CACHE_CHARS = 500_000, 32 << 20
 END_ID = 0
 
 
@@ -181,7 +181,7 @@ def _file_system(uri: str):
 
 
 #: Bytes of text encoded together; a longer text is encoded alone.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 2 << 20
 
 
 def encoded(encoder: PieceEncoder, batch: pa.RecordBatch) -> Iterator[tuple[int | None, np.ndarray]]:
