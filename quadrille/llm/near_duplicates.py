@@ -213,7 +213,8 @@ def classes(documents: DataFrame, *, key: str = "doc_id", text: str = "text", sh
     signed = materialise(profile.join(sets.select("rep.*"), ["id", "th"], "left_semi").select(F.struct("id", "th").alias("u"), "keys", "tails"), "near-signed")
 
     def texts_of(nodes: DataFrame) -> DataFrame:
-        held = docs.join(nodes.select("u.*").distinct(), ["id", "th"], "left_semi").dropDuplicates(["id", "th"])
+        # Built on the side of the wanted keys: the texts move once and are not sorted.
+        held = docs.join(nodes.select("u.*").distinct().hint("shuffle_hash"), ["id", "th"], "left_semi").dropDuplicates(["id", "th"])
         return materialise(held.select(F.struct("id", "th").alias("u"), "text"), "near-texts")
 
     # From the longest prefixes to shorter ones, until the links found tell that few are missing.
