@@ -6,6 +6,7 @@ Tokens are runs of letters and digits, lower-cased.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -102,8 +103,44 @@ def matches(term: Column, query: str, phrase: bool = False) -> Column:
     return _phrase(text, _words(query)) if phrase else condition(text, query)
 
 
+#: Fixed values of the BM25 ranking.
+K1, B = 1.2, 0.75
+
+
+def wanted(query: str) -> list[str]:
+    """The words of a query that a match is ranked by: all but those after NOT or -, and the connectives."""
+    out, skip = [], False
+    for item in _TOKEN.findall(query):
+        if item == "NOT" or item == "-":
+            skip = True
+        elif item not in ("AND", "OR", "+", "(", ")"):
+            if not skip and not item.startswith("-"):
+                out += [w for w in _words(item) if not item.endswith("*")]
+            skip = False
+    return list(dict.fromkeys(out))
+
+
+def _is(word: str):
+    return lambda x: x == F.lit(word)
+
+
 def search(quads: DataFrame, query: str, predicate: str | None = None, limit: int | None = None) -> DataFrame:
-    """Quads whose literal object matches."""
+    """Quads whose literal object matches, with their BM25 score over the literals searched, best first.
+
+    Word counts and document frequencies are one aggregate over the literals; ties are ordered by subject.
+    """
     rows = quads if predicate is None else quads.where(F.col("p") == predicate)
-    found = rows.where(matches(F.col("o"), query))
+    rows = rows.where(F.col("o")["k"] == t.LITERAL)
+    words = wanted(query)
+    rows = rows.withColumn("_w", tokens(F.col("o")["lex"]))
+    rows = rows.withColumns({"_n": F.size("_w"), **{f"_f{i}": F.size(F.filter("_w", _is(w))) for i, w in enumerate(words)}}).drop("_w")
+    total = rows.agg(F.count("*").alias("_docs"), F.avg("_n").alias("_mean"), *(F.sum((F.col(f"_f{i}") > 0).cast("int")).alias(f"_d{i}") for i in range(len(words)))).first()
+    score = F.lit(0.0)
+    for i in range(len(words)):
+        held = total[f"_d{i}"] or 0
+        rare = math.log(1 + (total["_docs"] - held + 0.5) / (held + 0.5))
+        f = F.col(f"_f{i}")
+        score = score + rare * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_n") / max(total["_mean"] or 0.0, 1e-9)))
+    found = rows.where(matches(F.col("o"), query)).withColumn("score", score).select("g", "s", "p", "o", "score")
+    found = found.orderBy(F.desc("score"), F.col("s")["lex"])
     return found if limit is None else found.limit(limit)

@@ -15,11 +15,20 @@ from ..functions import terms as t
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the cluster's shared folder; a temporary one only where none is set, as in tests."""
-    context = df.sparkSession.sparkContext
+    """A checkpoint in the cluster's shared folder, which the session has to name in spark.checkpoint.dir.
+
+    A session on one machine, as in tests, may leave it unset and gets a temporary one; any other raises.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quadrille-"))
-    return df.checkpoint()
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quadrille-"))
+    done = df.checkpoint()
+    # A checkpoint keeps its plan's constraints, also on columns that it dropped; renaming leaves those behind.
+    return done.select(*(F.col(f"`{c}`").alias(c) for c in done.columns))
 
 
 def normalise(path: tuple, inverse: bool = False) -> tuple:
@@ -42,8 +51,8 @@ def normalise(path: tuple, inverse: bool = False) -> tuple:
 class Paths:
     """scan(predicate) gives rows (keys..., s term, p, o term) of the active graph; keys is ["g"] or []."""
 
-    def __init__(self, scan, keys: list[str]):
-        self.scan, self.keys = scan, keys
+    def __init__(self, spark, scan, keys: list[str]):
+        self.spark, self.scan, self.keys = spark, scan, keys
         self.cols = [*keys, "s", "o"]
 
     def nodes(self, extra: list[Column]) -> DataFrame:
@@ -58,6 +67,10 @@ class Paths:
 
     def identity(self, s: Column | None, o: Column | None) -> DataFrame:
         fixed = [c for c in (s, o) if c is not None]
+        if fixed and not self.keys:
+            # A bound end meets itself, whether it is a node of the graph or not; no quad needs to be read.
+            one = self.spark.range(1).select(fixed[0].alias("s"), fixed[-1].alias("o"))
+            return one.where("s = o")
         return self.nodes(fixed).select(*self.keys, F.col("n").alias("s"), F.col("n").alias("o"))
 
     def pairs(self, path: tuple, s: Column | None = None, o: Column | None = None) -> DataFrame:
@@ -100,10 +113,15 @@ class Paths:
             swap = [*self.keys, F.col("o").alias("s"), F.col("s").alias("o")]
             return self.closure(edges.select(*swap), o, None).select(*swap)
         step = edges.select(*self.keys, F.col("s").alias("m"), F.col("o").alias("n"))
-        total = delta = cut(edges if s is None else edges.where(F.col("s") == s))
+        total = delta = edges if s is None else edges.where(F.col("s") == s)
+        rounds = 0
         while not delta.isEmpty():
             found = delta.withColumnRenamed("o", "m").join(step, [*self.keys, "m"])
             found = found.select(*self.keys, "s", F.col("n").alias("o")).distinct()
+            # What is known is the union of the rounds' own checkpoints: each pair is written once.
             delta = cut(found.join(total, self.cols, "left_anti"))
-            total = cut(total.union(delta))
+            total = total.union(delta)
+            rounds += 1
+            if rounds % 50 == 0:
+                total = cut(total)  # keeps the plan of long chains small
         return total

@@ -64,11 +64,11 @@ def _step(new: DataFrame, all_: DataFrame) -> list[DataFrame]:
     return [x.where(F.col("s")["k"] != t.LITERAL) for x in out]
 
 
-def infer(dataset: Dataset, max_rounds: int = 1000) -> DataFrame:
-    """Inferred triples (s, p, o) that are not asserted in any graph."""
+def infer(dataset: Dataset) -> DataFrame:
+    """Inferred triples (s, p, o) that are not asserted in any graph. Rules make no new terms, so the rounds come to an end."""
     base = cut(dataset.quads.select("s", "p", "o").distinct())
     total, new = base, base
-    for _ in range(max_rounds):
+    while True:
         made = reduce(DataFrame.union, _step(new, total)).distinct()
         new = cut(made.join(total, ["s", "p", "o"], "left_anti"))
         if new.isEmpty():
@@ -118,10 +118,16 @@ def same_as(dataset: Dataset) -> DataFrame:
 
 
 def with_same_as(dataset: Dataset) -> Dataset:
-    """Quads fanned out over the sameAs classes of their subjects and objects."""
+    """Quads fanned out over the sameAs classes of their subjects and objects, as every member stands for the others.
+
+    The statements of sameAs stay as they are. A dataset without any comes back unchanged.
+    """
     classes = same_as(dataset)
+    if classes.isEmpty():
+        return dataset
     pairs = classes.select(F.col("node").alias("x"), "root").join(classes.select(F.col("node").alias("y"), "root"), "root").select("x", "y")
     q = dataset.quads.select("g", "s", "p", "o")
+    said, q = q.where(F.col("p") == OWL + "sameAs"), q.where(F.col("p") != OWL + "sameAs")
     q = q.join(pairs, q["s"] == pairs["x"], "left").select("g", F.coalesce("y", "s").alias("s"), "p", "o")
     q = q.join(pairs, q["o"] == pairs["x"], "left").select("g", "s", "p", F.coalesce("y", "o").alias("o"))
-    return Dataset(q.distinct(), dataset.graphs)
+    return Dataset(cut(q.distinct().union(said)), dataset.graphs)

@@ -250,7 +250,7 @@ class PatternCompiler:
     def path(self, node: A.Path) -> Rel:
         keys = ["g"] if self.graph and self.graph[0] == "var" else []
         ends = [None if x[0] == "var" else t.constant(x) for x in (node.s, node.o)]
-        pairs = Paths(self.quads, keys).pairs(normalise(node.path), *ends)
+        pairs = Paths(self.spark, self.quads, keys).pairs(normalise(node.path), *ends)
         cols: dict[str, Column] = {}
         if keys:
             cols[self.graph[1]] = t.iri(F.col("g"))

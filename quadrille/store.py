@@ -36,6 +36,13 @@ class Store:
                 if "PATH_NOT_FOUND" not in str(e):
                     raise
 
+    @classmethod
+    def over(cls, dataset: Dataset, **options) -> Store:
+        """A store that starts from the quads of a dataset."""
+        store = cls(dataset.spark, **options)
+        store.dataset = dataset
+        return store
+
     def _set(self, dataset: Dataset) -> None:
         self.dataset, self._inferred = Dataset(cut(dataset.quads), dataset.graphs), None
 
@@ -43,7 +50,7 @@ class Store:
         if not self.reasoning:
             return self.dataset
         if self._inferred is None:
-            self._inferred = reasoning.with_inferences(self.dataset)
+            self._inferred = reasoning.with_same_as(reasoning.with_inferences(self.dataset))
         return self._inferred
 
     def query(self, text: str, options: Options | None = None, **kw) -> Result:
