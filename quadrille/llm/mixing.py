@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .runtime import materialise
 
 CAP = 3.0
-#: Documents of one source and size that are ranked together.
-CELL_ROWS = 2000
+#: Documents of one source and size that are ranked together; rows that repeat key and text fall in one slice.
+CELL_ROWS = 500
 ROUNDS = 60
 TOLERANCE = 1e-9
 
@@ -129,12 +129,21 @@ def mixed(documents: DataFrame, *, source: str = "source", text: str = "text", k
     targets = spark.createDataFrame([(s, aims[s], n) for s, n in sizes], "source string, target double, source_size long")
     cells = solve(histogram, targets, cap)
     cells = cells.groupBy("source").applyInPandas(_round_source, "source string, size long, n long, target double, source_size long, rate double, whole long, extra long")
-    # A cell of many documents is ranked in slices; each slice takes its share of the extras.
+    # A cell of many documents is cut into slices by rank. Slices are filled with extra copies in turn, by the running
+    # total of their documents, so the cell takes exactly its extras; only the slice at the border has to be ranked.
     cells = materialise(cells.withColumn("slices", F.ceil(F.col("n") / CELL_ROWS)), "mix-cells").select(F.col("source").alias("c_source"), F.col("size").alias("c_size"), "source_size", "target", "rate", "whole", "extra", "slices")
-    docs = docs.join(cells, F.col("_mix_source").eqNullSafe(F.col("c_source")) & (F.col("size") == F.col("c_size")))
+    docs = docs.join(cells, F.col("_mix_source").eqNullSafe(F.col("c_source")) & (F.col("size") == F.col("c_size"))).drop("c_source", "c_size")
     docs = docs.withColumn("_mix_slice", F.pmod(F.col("_mix_rank"), F.col("slices")))
-    place = Window.partitionBy("_mix_source", "size", "_mix_slice").orderBy("_mix_rank", F.col(key))
-    # Slice j takes floor(extra * (j + 1) / slices) - floor(extra * j / slices) of the cell's extras, as near as its rows allow.
-    share = F.floor(F.col("extra") * (F.col("_mix_slice") + 1) / F.col("slices")) - F.floor(F.col("extra") * F.col("_mix_slice") / F.col("slices"))
-    copies = F.col("whole") + F.when(F.row_number().over(place) <= share, 1).otherwise(0)
-    return docs.withColumn("copies", copies.cast("int")).drop("_mix_source", "_mix_rank", "_mix_slice", "c_source", "c_size", "whole", "extra", "slices")
+    where = docs.where("extra > 0").groupBy(F.col("_mix_source").alias("s_source"), F.col("size").alias("s_size"), F.col("_mix_slice").alias("s_slice")).agg(F.count("*").alias("_mix_n"), F.max("extra").alias("s_extra"))
+    ahead = Window.partitionBy("s_source", "s_size").orderBy("s_slice").rowsBetween(Window.unboundedPreceding, -1)
+    where = where.withColumn("_mix_left", F.col("s_extra") - F.coalesce(F.sum("_mix_n").over(ahead), F.lit(0)))
+    where = materialise(where.where("_mix_left > 0").drop("s_extra"), "mix-slices")
+    same = F.col("_mix_source").eqNullSafe(F.col("s_source")) & (F.col("size") == F.col("s_size")) & (F.col("_mix_slice") == F.col("s_slice"))
+    docs = docs.join(where, same, "left").drop("s_source", "s_size", "s_slice")
+    border = F.col("_mix_left") < F.col("_mix_n")
+    place = F.row_number().over(Window.partitionBy("_mix_source", "size", "_mix_slice").orderBy("_mix_rank", F.col(key)))
+    ranked = docs.where(border).withColumn("_mix_more", (place <= F.col("_mix_left")).cast("int"))
+    filled = docs.where(~F.coalesce(border, F.lit(False))).withColumn("_mix_more", F.col("_mix_left").isNotNull().cast("int"))
+    docs = filled.unionByName(ranked)
+    copies = F.col("whole") + F.col("_mix_more")
+    return docs.withColumn("copies", copies.cast("int")).drop("_mix_source", "_mix_rank", "_mix_slice", "_mix_n", "_mix_left", "_mix_more", "whole", "extra", "slices")

@@ -213,6 +213,25 @@ def test_toxicity(spark):
     assert toxicity.train(docs, labels.limit(0)).score(np.zeros(0, np.uint8), np.array([0, 0]))[0] == pytest.approx(0.5)
 
 
+def test_mixing_solves_dual(spark, monkeypatch):
+    """Rates against a brute-force solution of each source's equation; copies in cells of many slices lose nothing."""
+    monkeypatch.setattr(mixing, "CELL_ROWS", 7)
+    rng = np.random.default_rng(2)
+    rows = [(i, str(rng.choice(["a", "b", "c"], p=[0.7, 0.2, 0.1])), " ".join(["w"] * int(rng.integers(1, 6)))) for i in range(600)]
+    found = mixing.mixed(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    for s in "abc":
+        own = [r for r in found if r["source"] == s]
+        sizes, target = np.array([r["size"] for r in own], float), own[0]["target"]
+        words = lambda x: (sizes * np.minimum(3.0, np.exp(np.clip(x * sizes, -700, 700)))).sum()
+        low, high = -50.0, 50.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if words(mid) < target else (low, mid)
+        assert np.allclose([r["rate"] for r in own], np.minimum(3.0, np.exp(low * sizes)), rtol=1e-4)
+        assert abs(sum(r["copies"] * r["size"] for r in own) - target) <= max(sizes)
+        assert all(r["copies"] in (int(r["rate"]), int(r["rate"]) + 1) for r in own)
+
+
 def _mentions(n, seed):
     """Labelled sentences whose toxic ones name one group far more often than chance, with no fault of the group's name."""
     rng = np.random.default_rng(seed)
