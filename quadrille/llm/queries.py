@@ -22,7 +22,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return substring.without_repeats(docs, keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256", "spans")
+    return substring.without_repeats(docs, keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256", "spans", "factors")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,18 +1,21 @@
 """Substring dedup by relative Lempel-Ziv parsing over an index of reference blocks.
 
-The reference is the corpus itself. Its blocks are hash buckets of anchors: the anchor of a window (`window` consecutive
-words) is the run of ANCHOR words with the least hash in it, so equal windows share their anchor and a document need only
-be factored against the blocks of its own anchors; no other block can hold a factor that is long enough. The windows of
-one document that follow each other under one anchor are a phrase.
-
-Indexing counts phrases and anchors with combinable aggregates. A phrase found twice is a factor as it stands. A phrase
-whose anchor also heads other phrases may be matched in part only, at the border of a factor: its windows are looked up
-one by one. Parsing then walks each document greedily, from left to right: a factor starts at the first window the index
-holds and is extended as long as the next window is held too; its words are a duplicate span. Windows are judged on the
-input and not on what is left of it. Words are compared by 64-bit hashes of windows within equal 64-bit anchors.
-
-However many documents share a passage, no task gathers its copies: counting combines before each shuffle, and joins back
-to the documents have plain scans on both sides, which adaptive execution splits.
+The reference is the corpus itself, in blocks: the words that one task of the indexing pass reads are a block, and a word's
+place in it is its position. The index leads from a run of words to the first and the last place where it stands. As only
+factors of at least a window (`window` words) matter, it holds no shorter runs: the anchor of a window is the run of ANCHOR
+words with the least hash in it, so equal windows share their anchor, and the windows of one document that follow each
+other under one anchor are a phrase. Phrases are indexed whole; where an anchor heads several different phrases, their
+windows are indexed one by one, as factors may begin or end within these.
+
+Parsing walks each document greedily, from left to right. A factor starts at the first window that the index finds in
+another place and is extended word by word as long as the next window is found at the next position of the same block;
+where it is not, the factor ends, and at this border the index is asked again, so that a factor from another place may
+start within the window. A factor is (first word, end, block, position); the words of all factors are the duplicate
+spans. Windows are judged on the input and not on what is left of it. Runs are compared by two 64-bit hashes, of the
+anchor and of the whole.
+
+However many documents share a passage, no task gathers its copies: the index combines counts and places before each
+shuffle, and joins back to the documents have plain scans on both sides, which adaptive execution splits.
 
 Nulls and texts shorter than a window keep all their words; a null text has none. Rows that repeat each other, or share
 or lack a doc_id, are documents of their own and count as occurrences. An empty table gives no rows. Columns that bear the
@@ -26,16 +29,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialise
+from .runtime import discard, materialise
 from .text import Words, chunks, mix, run_hashes, span_hashes, words
 
 WINDOW, ANCHOR = 35, 8
 _PHRASE_BASE, _WINDOW_BASE = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
 #: Low bits of a packed anchor hash that hold the place of the run; more words than that are taken in steps.
 _PLACE_BITS = 22
+#: Low bits of a place that hold the position in its block.
+_POSITION_BITS = 40
 
 
 def _places(grams: np.ndarray, span: int) -> np.ndarray:
@@ -81,42 +86,59 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _positions(documents: DataFrame, window: int) -> DataFrame:
-    """One row per phrase: the document's key, the number of the phrase in it, anchor and content."""
+    """One row per phrase: the document's key, the number of the phrase in it, its place, anchor and content."""
+    from pyspark import TaskContext
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = TaskContext.get().partitionId() << _POSITION_BITS
         for batch in batches:
             ids, hashes = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             for a, b, data, offsets in chunks(batch.column(2)):
-                doc, _, _, anchor, content = phrases(words(data, offsets), window)
+                w = words(data, offsets)
+                doc, begin, _, anchor, content = phrases(w, window)
                 if len(doc):
                     first = np.searchsorted(doc, np.arange(b - a))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][doc]), pa.array(hashes[a:b][doc]), pa.array((np.arange(len(doc)) - first[doc]).astype(np.int32)), _signed(anchor), _signed(content)], ["id", "th", "k", "anchor", "content"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][doc]), pa.array(hashes[a:b][doc]), pa.array((np.arange(len(doc)) - first[doc]).astype(np.int32)), pa.array(begin + place), _signed(anchor), _signed(content)], ["id", "th", "k", "at", "anchor", "content"])
+                place += len(w.hash)
+
+    return documents.mapInArrow(run, "id long, th long, k int, at long, anchor long, content long")
 
-    return documents.mapInArrow(run, "id long, th long, k int, anchor long, content long")
+
+def _elsewhere(at: str) -> Column:
+    """The first place where a run stands, or the last if the first is its own."""
+    return F.when(F.col(at) == F.col("low"), F.col("high")).otherwise(F.col("low"))
 
 
 def _marks(phrase: DataFrame) -> DataFrame:
-    """Per document: numbers of its phrases found whole elsewhere, and of those whose windows must be looked up.
+    """Per document: (number, place elsewhere) of its phrases found whole, and (number, own place) of those whose windows
+    must be looked up.
 
-    A phrase of an anchor with several phrases is looked up once, in its first document, for all that equal it.
+    A phrase of an anchor with several phrases is looked up once, where it stands first, for all that equal it.
     """
-    place = F.xxhash64("id", "th", "k")
-    whole = phrase.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(place).alias("place"))
+    whole = phrase.groupBy("anchor", "content").agg(F.min("at").alias("low"), F.max("at").alias("high"))
     whole = materialise(whole, "rlz-phrases")
     several = materialise(whole.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor", F.lit(True).alias("several")), "rlz-anchors")
-    wanted = whole.join(several, "anchor", "left").where("n > 1 OR several")
-    wanted = materialise(wanted.select("anchor", "content", (F.col("n") > 1).alias("found"), F.when(F.col("several"), F.col("place")).alias("place")), "rlz-wanted")
-    marks = phrase.join(wanted, ["anchor", "content"]).select("id", "th", "k", "found", F.coalesce(place == F.col("place"), F.lit(False)).alias("lookup"))
-    marks = marks.where("found OR lookup")
-    return marks.groupBy("id", "th").agg(F.collect_set(F.when(F.col("found"), F.col("k"))).alias("found"), F.collect_set(F.when(F.col("lookup"), F.col("k"))).alias("lookup"))
-
-
-def _parse(raw: bytes, w_start: np.ndarray, w_end: np.ndarray, held: np.ndarray, window: int) -> tuple[int, list[tuple[int, int]], bytes]:
-    """Greedy factors over the windows that the index holds: words removed, spans of words, and the kept words."""
-    edge = np.diff(np.concatenate([[0], held.astype(np.int8), [0]]))
-    factors = list(zip(np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) + window - 1).tolist(), strict=True))
+    wanted = whole.join(several, "anchor", "left").where("low != high OR several")
+    wanted = materialise(wanted.select("anchor", "content", "low", "high", F.coalesce("several", F.lit(False)).alias("several")), "rlz-wanted")
+    discard(whole, several)
+    found, lookup = F.col("low") != F.col("high"), F.col("several") & (F.col("at") == F.col("low"))
+    marks = phrase.join(wanted, ["anchor", "content"]).select("id", "th", "k", F.when(found, _elsewhere("at")).alias("found"), F.when(lookup, F.col("at")).alias("own"))
+    marks = marks.where("found IS NOT NULL OR own IS NOT NULL")
+    return marks.groupBy("id", "th").agg(F.collect_set(F.when(F.col("found").isNotNull(), F.struct("k", F.col("found").alias("at")))).alias("found"), F.collect_set(F.when(F.col("own").isNotNull(), F.struct("k", F.col("own").alias("at")))).alias("lookup"))
+
+
+def _parse(raw: bytes, w_start: np.ndarray, w_end: np.ndarray, places: np.ndarray, window: int) -> tuple[int, list[tuple[int, int]], list[tuple[int, int, int]], bytes]:
+    """places: for each window, where else the index finds it, or -1 -> words removed, spans, factors (start, end, place), kept words."""
+    held = places >= 0
+    starts, ends = held.copy(), held.copy()
+    # A factor goes on where the next window stands at the next position.
+    follows = held[1:] & held[:-1] & (places[1:] == places[:-1] + 1)
+    starts[1:] &= ~follows
+    ends[:-1] &= ~follows
+    first = np.flatnonzero(starts)
+    factors = list(zip(first.tolist(), (np.flatnonzero(ends) + window).tolist(), places[first].tolist(), strict=True))
     spans: list[tuple[int, int]] = []
-    for a, b in factors:
+    for a, b, _ in factors:
         if spans and a <= spans[-1][1]:
             spans[-1] = (spans[-1][0], b)
         else:
@@ -126,19 +148,20 @@ def _parse(raw: bytes, w_start: np.ndarray, w_end: np.ndarray, held: np.ndarray,
         if a > at:
             kept += raw[w_start[at] : w_end[a - 1]].split()
         at = b
-    return sum(b - a for a, b in spans), spans, b" ".join(kept)
+    return sum(b - a for a, b in spans), spans, factors, b" ".join(kept)
 
 
-_RESULT = [("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
-_RESULT_SQL = "n_words long, n_removed long, kept_text string, kept_sha256 string, spans array<struct<start:long,end:long>>"
+_RESULT = [("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("factors", pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "end", "block", "position")])))]
+_RESULT_SQL = "n_words long, n_removed long, kept_text string, kept_sha256 string, spans array<struct<start:long,end:long>>, factors array<struct<start:long,end:long,block:long,position:long>>"
 
 
 def without_repeats(documents: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW, keep_text: bool = True) -> DataFrame:
-    """The documents with n_words, n_removed, kept_text, kept_sha256 (of the kept words joined by one blank) and spans.
+    """The documents with n_words, n_removed, kept_text, kept_sha256 (of the kept words joined by one blank), spans, factors.
 
-    spans are ranges of word numbers, end excluded. keep_text=False leaves out the text and the kept text.
+    spans are ranges of word numbers, end excluded, and factors such ranges with the block and position of the same words
+    elsewhere. keep_text=False leaves out the text and the kept text.
     """
-    documents = documents.drop("n_words", "n_removed", "kept_text", "kept_sha256", "spans")
+    documents = documents.drop("n_words", "n_removed", "kept_text", "kept_sha256", "spans", "factors")
     keyed = documents.withColumns({"_id": F.coalesce(F.col(key).cast("long"), F.lit(-1)), "_th": F.xxhash64(key, text)})
     narrow = keyed.select("_id", "_th", F.col(text))
     phrase = materialise(_positions(narrow, window), "rlz-positions")
@@ -153,8 +176,9 @@ def without_repeats(documents: DataFrame, *, key: str = "doc_id", text: str = "t
 
     # First pass over the texts with their marks: documents with nothing to look up are parsed at once; the others wait,
     # with the windows that need a look.
-    pending = "`_id` long, `_th` long, `_text` string, `_found` array<int>, `_anchor` array<long>, `_window` array<long>, `_at` array<int>"
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    pending = "`_id` long, `_th` long, `_text` string, `_found` array<struct<k:int,at:long>>, `_anchor` array<long>, `_window` array<long>, `_k` array<int>, `_at` array<long>"
+    found_kind = pa.list_(pa.struct([("k", pa.int32()), ("at", pa.int64())]))
+    kinds = [pa.int64(), pa.int64(), pa.string(), found_kind, pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,29 +195,33 @@ def without_repeats(documents: DataFrame, *, key: str = "doc_id", text: str = "t
                     own = w.of(d)
                     n = own.stop - own.start
                     yes, look = found[a + d].as_py() or [], lookup[a + d].as_py() or []
-                    held = np.zeros(max(0, n - window + 1), bool)
-                    for k in yes:
-                        x = edges[d] + k
-                        held[begin[x] - own.start : begin[x] - own.start + size[x]] = True
+                    places = np.full(max(0, n - window + 1), -1, np.int64)
+                    for mark in sorted(yes, key=lambda m: (m["k"], -m["at"])):
+                        x = edges[d] + mark["k"]
+                        places[begin[x] - own.start : begin[x] - own.start + size[x]] = mark["at"] + np.arange(size[x])
                     raw = bytes(data[offsets[d] : offsets[d + 1]])
                     if look:
-                        pick = edges[d] + np.array(sorted(look))
-                        places = np.concatenate([np.arange(begin[x], begin[x] + size[x]) for x in pick])
-                        hashed = run_hashes(w.hash[own], window, _WINDOW_BASE)[places - own.start]
-                        results.append((n, None, None, None, None))
-                        waits.append((ids[a + d].as_py(), hashes[a + d].as_py(), raw.decode(), np.flatnonzero(held).astype(np.int32), np.repeat(anchor[pick], size[pick]).view(np.int64), hashed.view(np.int64), (places - own.start).astype(np.int32)))
+                        # A repeated row has each of its phrases at two places; one of them is looked up.
+                        marks = list({m["k"]: m["at"] for m in look}.items())
+                        pick = edges[d] + np.array([k for k, _ in marks])
+                        looked = np.concatenate([np.arange(begin[x], begin[x] + size[x]) - own.start for x in pick])
+                        real = np.concatenate([np.arange(p, p + size[x]) for x, (_, p) in zip(pick, marks, strict=True)])
+                        hashed = run_hashes(w.hash[own], window, _WINDOW_BASE)[looked]
+                        results.append((n,) + (None,) * (len(_RESULT) - 1))
+                        known = np.flatnonzero(places >= 0)
+                        waits.append((ids[a + d].as_py(), hashes[a + d].as_py(), raw.decode(), [{"k": int(k), "at": int(places[k])} for k in known], np.repeat(anchor[pick], size[pick]).view(np.int64), hashed.view(np.int64), looked.astype(np.int32), real))
                     else:
-                        results.append(_result(raw, w, own, held, window, keep_text))
-                        waits.append((None,) * 7)
+                        results.append(_result(raw, w, own, places, window, keep_text))
+                        waits.append((None,) * 8)
             yield _batch(batch, carried, fields, results, waits, kinds)
 
     out = materialise(marked.mapInArrow(first, ", ".join([*other, _RESULT_SQL, pending])), "rlz-parsed")
-    looked = out.where("_window is not null").select("_id", "_th", F.explode(F.arrays_zip("_anchor", "_window", "_at")).alias("x")).select("_id", "_th", "x.*")
-    twice = looked.groupBy("_anchor", "_window").agg(F.count("*").alias("n")).where("n > 1").select("_anchor", "_window")
+    looked = out.where("_window is not null").select("_id", "_th", F.explode(F.arrays_zip("_anchor", "_window", "_k", "_at")).alias("x")).select("_id", "_th", "x.*")
     # Join both sides as plain scans of written tables.
     looked = materialise(looked, "rlz-windows")
-    hits = looked.join(materialise(twice, "rlz-twice"), ["_anchor", "_window"], "left_semi")
-    hits = hits.groupBy(F.col("_id").alias("id"), F.col("_th").alias("th")).agg(F.collect_set("_at").alias("hits"))
+    twice = looked.groupBy("_anchor", "_window").agg(F.min("_at").alias("low"), F.max("_at").alias("high")).where("low != high")
+    hits = looked.join(materialise(twice, "rlz-twice"), ["_anchor", "_window"]).select("_id", "_th", F.struct(F.col("_k").alias("k"), _elsewhere("_at").alias("at")).alias("x"))
+    hits = hits.groupBy(F.col("_id").alias("id"), F.col("_th").alias("th")).agg(F.collect_set("x").alias("hits"))
     results = [c.split()[0] for c in _RESULT_SQL.split(", ")]
     done = out.where("_window is null").select(*[f.name for f in fields], *results)
     waiting = out.where("_window is not null").select(*[f.name for f in fields], "_id", "_th", "_text", "_found")
@@ -208,21 +236,23 @@ def without_repeats(documents: DataFrame, *, key: str = "doc_id", text: str = "t
                 w = words(data, offsets)
                 for d in range(b - a):
                     own = w.of(d)
-                    held = np.zeros(max(0, own.stop - own.start - window + 1), bool)
-                    for more in (found[a + d].as_py(), hit[a + d].as_py()):
-                        if more:
-                            held[more] = True
-                    rows.append(_result(bytes(data[offsets[d] : offsets[d + 1]]), w, own, held, window, keep_text))
+                    places = np.full(max(0, own.stop - own.start - window + 1), -1, np.int64)
+                    for more in (hit[a + d].as_py(), found[a + d].as_py()):
+                        for mark in more or []:
+                            places[mark["k"]] = mark["at"]
+                    rows.append(_result(bytes(data[offsets[d] : offsets[d + 1]]), w, own, places, window, keep_text))
             yield _batch(batch, range(len(fields)), fields, rows)
 
     final = done.unionByName(waiting.mapInArrow(second, ", ".join([*other, _RESULT_SQL])))
     return final if keep_text else final.drop("kept_text")
 
 
-def _result(raw: bytes, w: Words, own: slice, held: np.ndarray, window: int, keep_text: bool) -> tuple:
+def _result(raw: bytes, w: Words, own: slice, places: np.ndarray, window: int, keep_text: bool) -> tuple:
     base = w.start[own][0] - _leading(raw) if own.stop > own.start else 0
-    removed, spans, kept = _parse(raw, w.start[own] - base, w.end[own] - base, held, window)
-    return own.stop - own.start, removed, kept.decode() if keep_text else None, hashlib.sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in spans]
+    removed, spans, factors, kept = _parse(raw, w.start[own] - base, w.end[own] - base, places, window)
+    low = (1 << _POSITION_BITS) - 1
+    found = [{"start": a, "end": b, "block": p >> _POSITION_BITS, "position": p & low} for a, b, p in factors]
+    return own.stop - own.start, removed, kept.decode() if keep_text else None, hashlib.sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in spans], found
 
 
 def _leading(raw: bytes) -> int:
@@ -235,5 +265,5 @@ def _batch(batch, carried, fields, results, waits=None, kinds=()) -> pa.RecordBa
     names = [*(f.name for f in fields), *(n for n, _ in _RESULT)]
     if waits is not None:
         columns += [pa.array([r[i] for r in waits], t) for i, t in enumerate(kinds)]
-        names += ["_id", "_th", "_text", "_found", "_anchor", "_window", "_at"]
+        names += ["_id", "_th", "_text", "_found", "_anchor", "_window", "_k", "_at"]
     return pa.RecordBatch.from_arrays(columns, names)

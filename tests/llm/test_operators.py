@@ -67,6 +67,24 @@ def test_substring(docs, rows):
     assert substring.without_repeats(docs.limit(0)).count() == 0
 
 
+def test_substring_factors(spark):
+    """Factors lead to the same words elsewhere, and go on as long as these do; one block, so positions are word numbers."""
+    a, b = numbers(0, 90), numbers(200, 290)
+    texts = [f"x1 x2 {a} x3 {b}", f"{numbers(20, 80)} y1 y2 {numbers(210, 260)}", f"z1 {a} {b}", numbers(1000, 1100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    words = " ".join(r["text"] for r in docs.collect()).split()
+    found = {r["doc_id"]: r for r in substring.without_repeats(docs).collect()}
+    assert found[3]["factors"] == [] and found[3]["n_removed"] == 0
+    for d, text in enumerate(texts):
+        own = text.split()
+        for f in found[d]["factors"]:
+            assert f["end"] - f["start"] >= 35 and f["block"] == 0
+            assert own[f["start"] : f["end"]] == words[f["position"] : f["position"] + f["end"] - f["start"]]
+            assert f["position"] != sum(len(t.split()) for t in texts[:d]) + f["start"]
+    # Two words stand between the passages of the first document and none in the third: no factor crosses that border.
+    assert len(found[2]["factors"]) >= 2 and found[2]["n_removed"] == 180 and found[1]["n_removed"] == 110
+
+
 def test_substring_long_document(monkeypatch):
     """A document of more words than an anchor's place can hold is taken in steps, with the same phrases."""
     text = " ".join(f"w{i % 700}" for i in range(3000)).encode()
