@@ -37,11 +37,11 @@ def parse_term(c: Column, scope: str) -> Column:
     tag, dt = F.regexp_extract(c, r'"@([A-Za-z0-9\-]+?)(?:--(?:ltr|rtl))?$', 1), F.regexp_extract(c, r'"\^\^<([^<>]*)>$', 1)
     way = F.regexp_extract(c, r"--(ltr|rtl)$", 1)
     literal = F.when(tag != "", F.when(way != "", t.literal(body, RDF + "dirLangString", F.lower(tag), way)).otherwise(t.literal(body, RDF + "langString", F.lower(tag)))).otherwise(t.literal(body, F.when(dt == "", STRING).otherwise(dt)))
-    inner = _unescape(F.substring(c, 2, 1 << 20))
+    inner = _unescape(F.substring(c, F.lit(2), F.length(c)))
     return (
         F.when(c.startswith("<<("), t.term(t.TRIPLE, F.regexp_replace(c, r"\s+", " ")))
         .when(c.startswith("<"), t.iri(F.rtrim(F.regexp_replace(inner, ">$", ""))))
-        .when(c.startswith("_:"), t.term(t.BNODE, F.concat(F.lit(scope), F.substring(c, 3, 1 << 20))))
+        .when(c.startswith("_:"), t.term(t.BNODE, F.concat(F.lit(scope), F.substring(c, F.lit(3), F.length(c)))))
         .when(c.startswith('"'), literal)
     )
 

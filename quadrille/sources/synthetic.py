@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import terms as t
 
-ENTITY, PROPERTY = "urn:wd/", "urn:wdt/"
+#: Names, fan-outs and query texts of the published benchmark.
+ENTITY, PROPERTY = "https://www.wikidata.org/entity/", "https://www.wikidata.org/prop/direct/"
 FEATURES, CLASSES, REGIONS, LINKS = 20, 50, 500, 3
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,11 +17,9 @@ from .plans import cypher as cypher_text
 from .plans.compiler import Options
 from .plans.engine import Result, run, run_parsed
 from .plans.sparql import parse_update
-from .sources import ntriples, turtle
+from .sources import formats, turtle
 from .sources.dataset import Dataset, empty_quads
 
-FORMATS = {"nt": "nquads", "nq": "nquads", "ttl": "turtle", "trig": "turtle"}
-
 
 class Store:
     """Mirrors a quad store's interface; every change makes a new version of the quads."""
@@ -137,25 +136,47 @@ class Store:
 
     # -- files
 
-    def read(self, path: str, form: str | None = None) -> DataFrame:
-        form = form or FORMATS.get(path.rsplit(".", 1)[-1].lower(), "turtle")
-        return ntriples.read(self.spark, path) if form == "nquads" else turtle.read(self.spark, path)
+    def read(self, path: str, form: str | None = None, **options) -> DataFrame:
+        return formats.read(self.spark, path, form, **options)
 
-    def load(self, path: str | list[str], form: str | None = None, graph: str | None = None) -> None:
-        for one in [path] if isinstance(path, str) else path:
-            more = self.read(one, form)
-            if graph:
-                more = more.withColumn("g", F.lit(graph))
-            self._set(Dataset(updates.union_distinct(self.dataset.quads, more), self.dataset.graphs | ({graph} if graph else set())))
+    def load(self, path: str | list[str], form: str | None = None, graph: str | None = None, lenient: bool = False) -> None:
+        """Loads one file or many; all of them are read together and added in one step."""
+        paths = [path] if isinstance(path, str) else path
+        more = reduce(DataFrame.union, [self.read(one, form, graph=graph, lenient=lenient) for one in paths])
+        self._set(Dataset(updates.union_distinct(self.dataset.quads, more), self.dataset.graphs | ({graph} if graph else set())))
 
     bulk_load = load
 
-    def dump(self, path: str, graph: str | None = None) -> None:
-        """N-Quads of all, or N-Triples of one graph."""
+    def dump(self, path: str, graph: str | None = None, form: str | None = None) -> None:
+        """The whole store in a dataset format, N-Quads by default, or one graph ("default" or an IRI) as triples."""
         if graph is None:
-            ntriples.write(self.dataset.quads, path)
+            formats.write(self.dataset.quads, path, form or "nquads")
         else:
-            ntriples.write(self.dataset.quads.where(F.col("g") == graph), path, with_graphs=False)
+            formats.write(self.graph(graph), path, form or "ntriples")
+
+    # -- the graph store protocol's operations, for a graph IRI or None, the default graph
+
+    def graph(self, iri: str | None = None) -> DataFrame:
+        """GET: the triples of a graph."""
+        q = self.dataset.quads
+        return q.where("g IS NULL" if iri in (None, "default") else F.col("g") == iri).select("s", "p", "o")
+
+    def put(self, triples: DataFrame, iri: str | None = None) -> None:
+        """PUT: the triples replace those of the graph."""
+        rest = self.dataset.quads.where("g IS NOT NULL" if iri is None else F.col("g").isNull() | (F.col("g") != iri))
+        self._set(Dataset(updates.union_distinct(rest, self._placed(triples, iri)), self.dataset.graphs | ({iri} if iri else set())))
+
+    def post(self, triples: DataFrame, iri: str | None = None) -> None:
+        """POST: the triples are added to the graph."""
+        self._set(Dataset(updates.union_distinct(self.dataset.quads, self._placed(triples, iri)), self.dataset.graphs | ({iri} if iri else set())))
+
+    def delete(self, iri: str | None = None) -> None:
+        """DELETE: the graph goes; a graph that is not there is an error."""
+        self.update(f"DROP GRAPH <{iri}>" if iri else "DROP DEFAULT")
+
+    @staticmethod
+    def _placed(triples: DataFrame, iri: str | None) -> DataFrame:
+        return triples.select(F.lit(iri).cast("string").alias("g"), "s", "p", "o")
 
     def flush(self, path: str | None = None) -> None:
         """Writes the quads as Parquet, sorted by subject within files, and goes on from there."""
@@ -172,4 +193,11 @@ class Store:
     optimize = flush
 
     def backup(self, path: str) -> None:
-        self.dataset.quads.write.parquet(path)
+        """Quads and the names of registered graphs, which may be empty, side by side."""
+        self.dataset.quads.write.parquet(f"{path}/quads")
+        self.spark.createDataFrame([(g,) for g in sorted(self.dataset.graphs)], "g string").write.parquet(f"{path}/graphs")
+
+    @classmethod
+    def restore(cls, spark: SparkSession, path: str, **options) -> Store:
+        names = frozenset(r[0] for r in spark.read.parquet(f"{path}/graphs").collect())
+        return cls.over(Dataset(spark.read.schema(t.QUAD).parquet(f"{path}/quads"), names), **options)
