@@ -287,7 +287,14 @@ def parse(text: str | bytes, form: str, base: str | None = None, rename_blank_no
     elif form == "jsonld":
         quads = _JsonLd(base, scope).read(text)
     else:
-        quads = turtle.parse(text.decode() if isinstance(text, bytes) else text, base, rename_blank_nodes)
+        text = text.decode() if isinstance(text, bytes) else text
+        if form == "nquads":
+            # Each line as a TriG block of its own graph.
+            lines = [re.fullmatch(ntriples.LINE, x) for x in text.split("\n") if x.strip() and not x.lstrip().startswith("#")]
+            if None in lines:
+                raise ValueError("not a document of N-Quads")
+            text = "\n".join(f"{m[4] or ''} {{ {m[1]} {m[2]} {m[3]} }}" for m in lines)
+        quads = turtle.parse(text, base, rename_blank_nodes)
     if without_named_graphs and any(q[0] for q in quads):
         raise ValueError("the document has named graphs")
     return list(dict.fromkeys(quads))
