@@ -19,6 +19,7 @@ only, so files left by a lost executor are never read.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
@@ -40,7 +41,7 @@ MASK_DELTA = 0xA282EAD8
 #: Bytes after which a task starts its next data file.
 FILE_BYTES = 64 << 20
 #: Distinct text pieces a worker keeps encoded, and their characters; when full, it starts anew. It bounds memory, not what is encoded.
-CACHE_PIECES, CACHE_CHARS = 500_000, 32 << 20
+CACHE_PIECES, CACHE_CHARS = 900_000, 32 << 20
 END_ID = 0
 
 
@@ -80,6 +81,9 @@ _OTHER_SPACE = r"\t\r\v\f\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\
 #: Texts with runs of white space, white space at an end, or other white space are cut by _BREAK; in all others every blank and line feed is a cut.
 _RUNS = rf"[ \n][ \n]|\A[ \n]|[ \n]\z|[{_OTHER_SPACE}]"
 _CUT = "\0"
+_PLAIN = rf"\A ?[^ \n{_OTHER_SPACE}]+\z"
+#: Pieces that are encoded in one line.
+LINE_PIECES = 100
 
 
 class PieceEncoder:
@@ -95,8 +99,12 @@ class PieceEncoder:
     def __init__(self, path: str, limit: int = CACHE_PIECES):
         from tokenizers import Tokenizer
 
+        # The tasks of an executor share its cores; threads of each task's own would only contend for them.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
         # Texts that hold an added token's string are encoded whole: its splitting comes before the pieces'.
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
@@ -128,10 +136,40 @@ class PieceEncoder:
             flat = pc.replace_with_mask(flat, pa.array(mask), texts.filter(whole))
         return flat, at
 
+    def ids_of(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces in a row, and how many each has.
+
+        Pieces of visible characters, with or without a blank before them, are encoded in lines of many: a line feed between
+        two of them is a token of its own. All others are encoded one by one.
+        """
+        plain = pc.match_substring_regex(pa.array(new, pa.large_string()), _PLAIN).to_numpy(zero_copy_only=False)
+        sizes = np.zeros(len(new), np.int64)
+        lists: list[list[int]] = []
+        texts = [p for p, x in zip(new, plain, strict=True) if x]
+        if self.line is not None and texts:
+            for i in range(0, len(texts), LINE_PIECES):
+                lists.append(self.tokenizer.encode("\n".join(texts[i : i + LINE_PIECES]), add_special_tokens=False).ids)
+                lists.append([self.line])
+            flat = np.array(list(chain.from_iterable(lists)), np.uint32)
+            ends = np.flatnonzero(flat == self.line)
+            if len(ends) != len(texts):
+                raise ValueError("a piece of text holds the token of a line feed")
+            sizes[plain] = np.diff(ends, prepend=-1) - 1
+            many = flat[flat != self.line]
+        else:
+            plain[:] = False
+            many = np.zeros(0, np.uint32)
+        others = [self.tokenizer.encode(p, add_special_tokens=False).ids for p, x in zip(new, plain, strict=True) if not x]
+        sizes[~plain] = [len(x) for x in others]
+        after = np.cumsum(sizes)
+        ids = np.zeros(int(after[-1]), np.uint32)
+        owner = np.repeat(plain, sizes)
+        ids[owner] = many
+        ids[~owner] = np.array(list(chain.from_iterable(others)), np.uint32)
+        return ids, sizes
+
     def learn(self, new: list[str]) -> None:
-        lists = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        ids = np.array(list(chain.from_iterable(lists)), np.uint32)
+        ids, sizes = self.ids_of(new)
         first = len(self.known)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
@@ -181,7 +219,7 @@ def _file_system(uri: str):
 
 
 #: Bytes of text encoded together; a longer text is encoded alone.
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 4 << 20
 
 
 def encoded(encoder: PieceEncoder, batch: pa.RecordBatch) -> Iterator[tuple[int | None, np.ndarray]]:
