@@ -298,7 +298,7 @@ class Compiler:
             from ..operators.fulltext import matches
 
             return Value(as_bool=matches(values[0].term(), args[1][1][1], phrase=name.endswith("contains")))
-        if "geosparql" in name:
+        if name.startswith("http://www.opengis.net/def/function/geosparql/"):
             from . import geo
 
             return geo.call(name, values)
