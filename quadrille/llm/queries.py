@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fuzzy_lines, html_text, mixing, near_duplicates, quality, substring, token_counts, token_records, toxicity
+from . import decontaminate, fuzzy_lines, html_text, mixing, near_duplicates, oracles, quality, substring, token_counts, token_records, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +22,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return substring.without_repeats(docs, keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256", "spans", "factors")
+    return substring.without_repeats(docs, keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,4 +76,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op3_quality_rules, op4_jaccard_join, op5_token_records, op6_mix_sources, op7_toxicity, op8_fuzzy_lines, op9_html_text, op10_token_counts)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_substring_dedup": oracles.SUBSTRING, "op2_decontaminate": oracles.DECONTAMINATE, "op4_jaccard_join": oracles.JACCARD}

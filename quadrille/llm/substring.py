@@ -124,7 +124,10 @@ def _marks(phrase: DataFrame) -> DataFrame:
     found, lookup = F.col("low") != F.col("high"), F.col("several") & (F.col("at") == F.col("low"))
     marks = phrase.join(wanted, ["anchor", "content"]).select("id", "th", "k", F.when(found, _elsewhere("at")).alias("found"), F.when(lookup, F.col("at")).alias("own"))
     marks = marks.where("found IS NOT NULL OR own IS NOT NULL")
-    return marks.groupBy("id", "th").agg(F.collect_set(F.when(F.col("found").isNotNull(), F.struct("k", F.col("found").alias("at")))).alias("found"), F.collect_set(F.when(F.col("own").isNotNull(), F.struct("k", F.col("own").alias("at")))).alias("lookup"))
+    marks = marks.groupBy("id", "th").agg(F.collect_set(F.when(F.col("found").isNotNull(), F.struct("k", F.col("found").alias("at")))).alias("found"), F.collect_set(F.when(F.col("own").isNotNull(), F.struct("k", F.col("own").alias("at")))).alias("lookup"))
+    marks = materialise(marks, "rlz-marks")
+    discard(wanted, phrase)
+    return marks
 
 
 def _parse(raw: bytes, w_start: np.ndarray, w_end: np.ndarray, places: np.ndarray, window: int) -> tuple[int, list[tuple[int, int]], list[tuple[int, int, int]], bytes]:
@@ -165,9 +168,9 @@ def without_repeats(documents: DataFrame, *, key: str = "doc_id", text: str = "t
     keyed = documents.withColumns({"_id": F.coalesce(F.col(key).cast("long"), F.lit(-1)), "_th": F.xxhash64(key, text)})
     narrow = keyed.select("_id", "_th", F.col(text))
     phrase = materialise(_positions(narrow, window), "rlz-positions")
-    marks = _marks(phrase)
+    marks = _marks(phrase).toDF("_mark_id", "_mark_th", "_mark_found", "_mark_lookup")
     base = keyed if keep_text else keyed.select(key, text, "_id", "_th")
-    marked = base.join(marks, (F.col("_id") == F.col("id")) & (F.col("_th") == F.col("th")), "left").drop("id", "th")
+    marked = base.join(marks, (F.col("_id") == F.col("_mark_id")) & (F.col("_th") == F.col("_mark_th")), "left").drop("_mark_id", "_mark_th")
     columns = [c for c in base.columns if c not in ("_id", "_th")]
     at = columns.index(text)
     fields = [base.schema[c] for c in columns if keep_text or c != text]
@@ -183,7 +186,7 @@ def without_repeats(documents: DataFrame, *, key: str = "doc_id", text: str = "t
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            found, lookup = batch.column(names.index("found")), batch.column(names.index("lookup"))
+            found, lookup = batch.column(names.index("_mark_found")), batch.column(names.index("_mark_lookup"))
             ids, hashes = batch.column(names.index("_id")), batch.column(names.index("_th"))
             results: list[tuple] = []
             waits: list[tuple] = []
@@ -221,16 +224,16 @@ def without_repeats(documents: DataFrame, *, key: str = "doc_id", text: str = "t
     looked = materialise(looked, "rlz-windows")
     twice = looked.groupBy("_anchor", "_window").agg(F.min("_at").alias("low"), F.max("_at").alias("high")).where("low != high")
     hits = looked.join(materialise(twice, "rlz-twice"), ["_anchor", "_window"]).select("_id", "_th", F.struct(F.col("_k").alias("k"), _elsewhere("_at").alias("at")).alias("x"))
-    hits = hits.groupBy(F.col("_id").alias("id"), F.col("_th").alias("th")).agg(F.collect_set("x").alias("hits"))
+    hits = hits.groupBy(F.col("_id").alias("_hit_id"), F.col("_th").alias("_hit_th")).agg(F.collect_set("x").alias("_hits"))
     results = [c.split()[0] for c in _RESULT_SQL.split(", ")]
     done = out.where("_window is null").select(*[f.name for f in fields], *results)
     waiting = out.where("_window is not null").select(*[f.name for f in fields], "_id", "_th", "_text", "_found")
-    waiting = waiting.join(hits, (F.col("_id") == F.col("id")) & (F.col("_th") == F.col("th")), "left").select(*[f.name for f in fields], "_text", "_found", "hits")
+    waiting = waiting.join(hits, (F.col("_id") == F.col("_hit_id")) & (F.col("_th") == F.col("_hit_th")), "left").select(*[f"`{f.name}`" for f in fields], "_text", "_found", "_hits")
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            found, hit = batch.column(names.index("_found")), batch.column(names.index("hits"))
+            found, hit = batch.column(names.index("_found")), batch.column(names.index("_hits"))
             rows = []
             for a, b, data, offsets in chunks(batch.column(names.index("_text"))):
                 w = words(data, offsets)
