@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import terms as t
 from ..functions.expressions import Compiler, Context, Value
 from ..operators.aggregates import aggregate
-from ..operators.paths import Paths, normalise
+from ..operators.paths import Paths, cut, normalise
 from ..sources.dataset import Dataset
 from . import algebra as A
 from .correlate import Correlation, sees_outer
@@ -583,6 +583,8 @@ class PatternCompiler:
             if self.options.service is None:
                 raise ServiceError(f"no handler for {node.name[1]}")
             df = self.options.service(node.name[1], node)
+            if node.silent:
+                df = cut(df)  # a failure while rows are made is silent too
             names = list(df.columns)
             return Rel(df, names, set())
         except Exception:

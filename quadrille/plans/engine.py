@@ -85,8 +85,9 @@ def instantiate(rel: Rel, template: list) -> DataFrame:
     """Quads (g, s, p, o) of templates (g or None, s, p, o); ill-formed ones are left out."""
     row = None
     if any(isinstance(y, tuple) and y[0] == "var" and y[1].startswith("_:") for q in template for y in q if y):
-        # Blank nodes are new for each solution: named by the row, or by chance where rows are not told apart.
-        row = F.substring(F.sha2(F.to_json(F.struct(*(rel.col(n) for n in rel.names))), 256), 1, 24) if rel.names else F.lit("0")
+        # Blank nodes are new for each solution, equal ones too: named by the row's values and its place.
+        place = F.monotonically_increasing_id().cast("string")
+        row = F.concat(F.substring(F.sha2(F.to_json(F.struct(*(rel.col(n) for n in rel.names))), 256), 1, 24), F.lit("."), place) if rel.names else place
     if not template:
         return rel.df.sparkSession.createDataFrame([], t.QUAD)
     made = []

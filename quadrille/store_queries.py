@@ -131,8 +131,8 @@ cypher(
     "SELECT m FROM (SELECT DISTINCT c_mktsegment AS m FROM customer) ORDER BY m DESC LIMIT 3 OFFSET 1",
 )
 cypher(
-    "cypher_left", "nation customer", "MATCH (n:Nation)<-[:c_nationkey]-(c:Customer {c_mktsegment: 'BUILDING'}) RETURN n.n_name AS n, c.c_acctbal AS b",
-    "SELECT n_name AS n, c_acctbal AS b FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING'", b=D,
+    "cypher_left", "nation customer", "MATCH (n:Nation)<-[:c_nationkey]-(c:Customer {c_mktsegment: 'BUILDING'}) RETURN n.n_name AS n, c.c_acctbal + 1 AS b",
+    "SELECT n_name AS n, c_acctbal + 1 AS b FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING'", b=D,
 )
 cypher(
     "cypher_write", "part", "MATCH (p:Part) RETURN p, p.p_size AS z", "SELECT 'urn:t/part/' || p_partkey AS p, CASE WHEN p_size < 10 THEN 10 ELSE p_size END::BIGINT AS z FROM part",
