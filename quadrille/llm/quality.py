@@ -137,29 +137,33 @@ def learn(votes: DataFrame, names: list[str], rounds: int = ROUNDS) -> dict[str,
     packed = patterns.agg(F.collect_list(F.struct(F.array(*(F.col(c).cast("int") for c in names)).alias("v"), "n")).alias("rows"))
     m = len(names)
     many = lambda xs: F.aggregate(xs, F.lit(0.0), lambda t, x: t + x)
+    # Entry i of a parameter array is of rule i / 3 and vote i % 3 - 1. All is folded over arrays, which keeps the plan small.
+    entries, each_rule = F.sequence(F.lit(0), F.lit(3 * m - 1)), F.sequence(F.lit(0), F.lit(m - 1))
 
     def maximise(weighed: Column) -> Column:
         """weighed: rows of (v, n, p = posterior of good) -> parameters."""
-        good, all_ = many(F.transform(weighed, lambda r: r["n"] * r["p"])), many(F.transform(weighed, lambda r: r["n"]))
 
-        def share(j: int, vote: int, of_good: bool) -> Column:
-            part = F.transform(weighed, lambda r: F.when(F.get(r["v"], F.lit(j)) == vote, r["n"] * (r["p"] if of_good else 1 - r["p"])).otherwise(0.0))
-            votes = F.transform(weighed, lambda r: F.when(F.get(r["v"], F.lit(j)) != 0, r["n"] * (r["p"] if of_good else 1 - r["p"])).otherwise(0.0))
-            return (many(part) + 1) / (many(votes) + 2)
+        def shares(weight) -> Column:
+            def entry(i: Column) -> Column:
+                rule, vote = (i / 3).cast("int"), i % 3 - 1
+                part = F.aggregate(weighed, F.lit(0.0), lambda t, r: t + F.when(F.get(r["v"], rule) == vote, weight(r)).otherwise(0.0))
+                votes = F.aggregate(weighed, F.lit(0.0), lambda t, r: t + F.when(F.get(r["v"], rule) != 0, weight(r)).otherwise(0.0))
+                return F.log((part + 1) / (votes + 2))
 
-        return let(F.struct(good.alias("g"), (all_ - good).alias("b")), lambda t: F.struct(
-            ((t["g"] + 1) / (t["g"] + t["b"] + 2)).alias("prior"),
-            F.array(*(F.log(share(j, x, True)) for j in range(m) for x in (-1, 0, 1))).alias("good"),
-            F.array(*(F.log(share(j, x, False)) for j in range(m) for x in (-1, 0, 1))).alias("bad"),
-        ))
+            return F.transform(entries, entry)
+
+        good = F.aggregate(weighed, F.lit(0.0), lambda t, r: t + r["n"] * r["p"])
+        all_ = F.aggregate(weighed, F.lit(0.0), lambda t, r: t + r["n"])
+        return F.struct(((good + 1) / (all_ + 2)).alias("prior"), shares(lambda r: r["n"] * r["p"]).alias("good"), shares(lambda r: r["n"] * (1 - r["p"])).alias("bad"))
 
     def expect(rows: Column, p: Column) -> Column:
         def posterior(r: Column) -> Column:
-            odds = F.log(p["prior"] / (1 - p["prior"]))
-            for j in range(m):
-                vote = F.get(r["v"], F.lit(j))
+            def add(odds: Column, j: Column) -> Column:
+                vote = F.get(r["v"], j)
                 worth = F.get(p["good"], vote + 3 * j + 1) - F.get(p["bad"], vote + 3 * j + 1)
-                odds = odds + F.when(vote == -1, F.least(worth, F.lit(0.0))).when(vote == 1, F.greatest(worth, F.lit(0.0))).otherwise(0.0)
+                return odds + F.when(vote == -1, F.least(worth, F.lit(0.0))).when(vote == 1, F.greatest(worth, F.lit(0.0))).otherwise(0.0)
+
+            odds = F.aggregate(each_rule, F.log(p["prior"] / (1 - p["prior"])), add)
             return 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), odds))))
 
         return F.transform(rows, lambda r: F.struct(r["v"].alias("v"), r["n"].alias("n"), posterior(r).alias("p")))
@@ -173,7 +177,7 @@ def learn(votes: DataFrame, names: list[str], rounds: int = ROUNDS) -> dict[str,
         return F.greatest(F.array_max(far), F.abs(p["prior"] - q["prior"]))
 
     def step(p: Column) -> Column:
-        return let(maximise(expect(F.col("rows"), p)), lambda q: q.withField("moved", moved(p, q)))
+        return let(let(expect(F.col("rows"), p), maximise), lambda q: q.withField("moved", moved(p, q)))
 
     first = F.transform(F.col("rows"), lambda r: F.struct(r["v"].alias("v"), r["n"].alias("n"), start(r["v"]).alias("p")))
     fitted = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), maximise(first).withField("moved", F.lit(1.0)), lambda p, _: F.when(p["moved"] < TOLERANCE, p).otherwise(step(p)))
