@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Item bytes in one automaton; a larger item table is scanned in several blocks, one automaton each.
+#: Item bytes in one automaton, and in one broadcast. An item table is far smaller as a rule; a larger one is scanned in
+#: several blocks in turn, of which a worker holds one automaton at a time.
 BLOCK_BYTES = 8 << 20
 WINDOW = 8
 
@@ -39,7 +40,7 @@ def item_windows(words: list[bytes], window: int) -> set[str]:
     return {b" ".join(words[i : i + window]).decode() for i in range(max(1, len(words) - window + 1))}
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _automaton(items: tuple[tuple[int, str], ...], window: int):
     owners: dict[str, set[int]] = {}
     for item_id, text in items:
@@ -84,17 +85,19 @@ def original_spans(text: str, hit: np.ndarray) -> list[dict[str, int]]:
     return [{"start": int(chars[begins[a]]), "end": int(chars[ends[b - 1]])} for a, b in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1), strict=True)]
 
 
-def item_blocks(items: DataFrame, item_id: str, text: str, block_bytes: int) -> list[tuple[tuple[int, str], ...]]:
-    """Items in blocks of bounded size, streamed to the driver; each block becomes one automaton."""
-    blocks, block, held = [], [], 0
+def item_blocks(items: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[tuple[tuple[int, str], ...]]:
+    """Items in blocks of bounded size, streamed through the driver one block at a time; each becomes one automaton."""
+    block: list[tuple[int, str]] = []
+    held = 0
     rows = items.select(F.col(item_id).cast("long"), F.coalesce(F.col(text), F.lit(""))).where(F.col(item_id).isNotNull()).distinct().orderBy(*[1, 2])
     for i, t in rows.toLocalIterator():
-        if block and held + len(t) > block_bytes:
-            blocks.append(tuple(block))
+        if block and held + len(t.encode()) > block_bytes:
+            yield tuple(block)
             block, held = [], 0
         block.append((i, t))
-        held += len(t)
-    return [*blocks, tuple(block)] if block else blocks
+        held += len(t.encode())
+    if block:
+        yield tuple(block)
 
 
 _SCHEMA = "n_words long, n_hit long, n_items long, item_ids array<long>, spans array<struct<start:long,end:long>>"
@@ -115,17 +118,20 @@ def contamination(documents: DataFrame, items: DataFrame, *, text: str = "text",
     kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("item_ids", pa.list_(pa.int64())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machines = [_automaton(b.value, window) for b in blocks]
         for batch in batches:
-            rows = []
-            for value in batch.column(at):
-                t = value.as_py()
-                n, hit, ids = len(normalise(t)) if not machines else 0, np.zeros(0, bool), set()
-                for m in machines:
-                    n, h, i, _ = scan(t, *m)
-                    ids |= i
-                    hit = h if not len(hit) else (hit | h if len(h) else hit)
-                rows.append({"n_words": n, "n_hit": int(hit.sum()), "n_items": len(ids), "item_ids": sorted(ids), "spans": original_spans(t, hit) if len(hit) else []})
+            texts = batch.column(at).to_pylist()
+            found: list[tuple[int, np.ndarray, set[int]]] = [(0, np.zeros(0, bool), set())] * len(texts)
+            for j, b in enumerate(blocks):
+                machine = _automaton(b.value, window)
+                for i, t in enumerate(texts):
+                    n, hit, ids, _ = scan(t, *machine)
+                    if j:
+                        _, h, before = found[i]
+                        hit, ids = h if not len(hit) else (hit | h if len(h) else hit), ids | before
+                    found[i] = (n, hit, ids)
+            if not blocks:
+                found = [(len(normalise(t)), np.zeros(0, bool), set()) for t in texts]
+            rows = [{"n_words": n, "n_hit": int(hit.sum()), "n_items": len(ids), "item_ids": sorted(ids), "spans": original_spans(t, hit) if len(hit) else []} for t, (n, hit, ids) in zip(texts, found, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(rows, kind)], [*(f.name for f in fields), "contamination"])
 
     out = documents.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"contamination struct<{_SCHEMA.replace(' long', ':long').replace(' array', ':array')}>"]))

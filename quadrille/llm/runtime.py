@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where the cluster names none."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A session on one machine, as in tests, may leave it
+    unset and gets a temporary one; any other raises."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext
         if context._jsc.sc().getCheckpointDir().isEmpty():
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="quadrille-"))
         folder = context._jsc.sc().getCheckpointDir().get()
     return folder.rstrip("/")
