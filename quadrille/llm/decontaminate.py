@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import take_over
+
 #: Item bytes in one automaton, and in one broadcast. An item table is far smaller as a rule; a larger one is scanned in
 #: several blocks in turn, of which a worker holds one automaton at a time.
 BLOCK_BYTES = 8 << 20
@@ -118,6 +120,7 @@ def contamination(documents: DataFrame, items: DataFrame, *, text: str = "text",
     kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("item_ids", pa.list_(pa.int64())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("decontaminate", _automaton.cache_clear)
         for batch in batches:
             texts = batch.column(at).to_pylist()
             found: list[tuple[int, np.ndarray, set[int]]] = [(0, np.zeros(0, bool), set())] * len(texts)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import components, discard, materialise
+from .runtime import components, discard, materialise, take_over
 from .text import chunks, mix, run_hashes, words
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -97,6 +97,7 @@ def signatures(grams: np.ndarray, begins: np.ndarray, trees: int, least: int, mo
 
 def _profiles(docs: DataFrame, k: int, trees: int, least: int, most: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("near_duplicates")
         for batch in batches:
             for a, b, data, offsets in chunks(batch.column(2)):
                 w = words(data, offsets)
@@ -150,6 +151,7 @@ def _verify(pairs: DataFrame, k: int, threshold: float) -> DataFrame:
     """pairs: x, y, x_text, y_text, those of one x in a row -> the pairs (x, y) that reach the threshold, and their similarity j."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("near_duplicates")
         last, own = None, np.zeros(0)
         for batch in batches:
             keep, similarity = np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows)

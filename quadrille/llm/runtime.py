@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,8 +51,35 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
-def same(left, right):
-    return left.eqNullSafe(right)
+_holder: tuple[str, Callable[[], None] | None] | None = None
+
+
+def take_over(owner: str, clear: Callable[[], None] | None = None) -> None:
+    """Called where a Python worker starts on an operator's rows: what another operator has cached in it is dropped.
+
+    Workers are reused from task to task, so a cache lives on through the stages of other operators if nobody clears it.
+    """
+    global _holder
+    if _holder and _holder[0] != owner:
+        if _holder[1]:
+            _holder[1]()
+        give_back()
+    _holder = (owner, clear)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, as far as the allocators can."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
 
 
 def _stars(edges: DataFrame) -> bool:

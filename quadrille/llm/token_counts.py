@@ -19,11 +19,15 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .runtime import take_over
+
 MARK = "▁"
 #: Fixed value: what an unknown character costs beyond the least score.
 UNKNOWN_PENALTY = 10.0
 #: Distinct pieces of text a worker remembers; when full, it starts anew. It bounds memory, not what is counted.
 CACHE_PIECES = 1_000_000
+#: Characters of a piece that is not remembered.
+LONG_PIECE = 200
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
@@ -78,9 +82,9 @@ class Counter:
             if len(known) > self.limit:
                 known.clear()
             for p in parts:
-                if p not in known:
+                if p not in known and len(p) <= LONG_PIECE:
                     known[p] = self.piece(MARK + p)
-            found = map(known.__getitem__, parts)
+            return sum(known[p] if len(p) <= LONG_PIECE else self.piece(MARK + p) for p in parts)
         return sum(found)
 
 
@@ -98,6 +102,7 @@ def counted(documents: DataFrame, model: str, *, text: str = "text", result: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(model)
+        take_over("token_counts", counter.known.clear)
         for batch in batches:
             n = pa.array([counter.count(x.as_py()) for x in batch.column(at)], pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), n], [*names, result])

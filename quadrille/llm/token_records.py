@@ -34,14 +34,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import scratch_path
+from .runtime import give_back, scratch_path, take_over
 
 #: Fixed value of the checksum mask.
 MASK_DELTA = 0xA282EAD8
 #: Bytes after which a task starts its next data file.
 FILE_BYTES = 64 << 20
 #: Distinct text pieces a worker keeps encoded, and their characters; when full, it starts anew. It bounds memory, not what is encoded.
-CACHE_PIECES, CACHE_CHARS = 900_000, 32 << 20
+CACHE_PIECES, CACHE_CHARS = 800_000, 32 << 20
 END_ID = 0
 
 
@@ -219,7 +219,7 @@ def _file_system(uri: str):
 
 
 #: Bytes of text encoded together; a longer text is encoded alone.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 3 << 20
 
 
 def encoded(encoder: PieceEncoder, batch: pa.RecordBatch) -> Iterator[tuple[int | None, np.ndarray]]:
@@ -255,6 +255,7 @@ def write_records(documents: DataFrame, folder: str, tokenizer: str, *, key: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = _file_system(folder)
         part, encoder = TaskContext.get().partitionId(), _encoder(tokenizer)
+        take_over("token_records", encoder.clear)
         out, name, offset, before, record, number = None, "", 0, 0, 0, 0
         end = np.array([] if end_id is None else [end_id], np.uint32)
         for batch in batches:
@@ -275,6 +276,7 @@ def write_records(documents: DataFrame, folder: str, tokenizer: str, *, key: str
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), _INDEX.types, strict=True)], schema=_INDEX)
         if out is not None:
             out.close()
+        give_back()
 
     rows.mapInArrow(run, INDEX).write.parquet(f"{folder}/index")
     return spark.read.schema(INDEX).parquet(f"{folder}/index")
