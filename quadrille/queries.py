@@ -539,6 +539,6 @@ sparql(
 sparql(
     "geo_distance",
     "SELECT ?n (geof:distance(?g, 'POINT (0 0)'^^geo:wktLiteral) AS ?d) (geof:area(geof:envelope(?l)) AS ?a) WHERE { ?n :n_nationkey ?k BIND(STRDT(CONCAT('POINT (0 ', STR(?k), ')'), geo:wktLiteral) AS ?g) BIND(STRDT(CONCAT('LINESTRING (0 0, 2 ', STR(?k), ')'), geo:wktLiteral) AS ?l) }",
-    f"SELECT {T}nation/' || n_nationkey AS n, round(6371008.8 * radians(n_nationkey), 2) AS d, round(2.0 * n_nationkey, 2) AS a FROM nation",
+    f"SELECT {T}nation/' || n_nationkey AS n, round(6371008.8 * radians(n_nationkey), 2) AS d, round(2.0::DOUBLE * n_nationkey, 2) AS a FROM nation",
     d="rounded", a="rounded",
 )
