@@ -114,8 +114,10 @@ sparql(
 )
 sparql(
     "optional_chain",
-    "SELECT ?p ?l ?o WHERE { ?p :p_size ?z OPTIONAL { ?l :l_partkey ?p ; :l_quantity ?q FILTER(?q > 49) } OPTIONAL { ?l :l_orderkey ?o } FILTER(?z < 3) }",
-    f"WITH j AS (SELECT p_partkey, {LI} AS l, l_orderkey FROM part JOIN lineitem ON l_partkey = p_partkey WHERE p_size < 3 AND l_quantity > 49) SELECT {T}part/' || p_partkey AS p, l, {T}orders/' || l_orderkey AS o FROM j UNION ALL SELECT {T}part/' || p_partkey, {LI}, {T}orders/' || l_orderkey FROM part, lineitem WHERE p_size < 3 AND p_partkey NOT IN (SELECT p_partkey FROM j)",
+    "SELECT ?n ?s ?x WHERE { ?n :n_name ?m OPTIONAL { ?s :s_nationkey ?n ; :s_acctbal ?b FILTER(?b > 9000) } OPTIONAL { ?s :s_name ?x } }",
+    f"WITH j AS (SELECT n_nationkey AS k, s_suppkey, s_name FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE s_acctbal > 9000) "
+    f"SELECT {T}nation/' || k AS n, {T}supplier/' || s_suppkey AS s, s_name AS x FROM j "
+    f"UNION ALL SELECT {T}nation/' || n_nationkey, {T}supplier/' || s_suppkey, s_name FROM nation, supplier WHERE n_nationkey NOT IN (SELECT k FROM j)",
 )
 sparql(
     "union_bag",
