@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import take_over
+from .runtime import give_back, take_over
 
 #: Item bytes in one automaton, and in one broadcast. An item table is far smaller as a rule; a larger one is scanned in
 #: several blocks in turn, of which a worker holds one automaton at a time.
@@ -122,20 +122,21 @@ def contamination(documents: DataFrame, items: DataFrame, *, text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_over("decontaminate", _automaton.cache_clear)
         for batch in batches:
-            texts = batch.column(at).to_pylist()
+            texts = batch.column(at)
             found: list[tuple[int, np.ndarray, set[int]]] = [(0, np.zeros(0, bool), set())] * len(texts)
             for j, b in enumerate(blocks):
                 machine = _automaton(b.value, window)
                 for i, t in enumerate(texts):
-                    n, hit, ids, _ = scan(t, *machine)
+                    n, hit, ids, _ = scan(t.as_py(), *machine)
                     if j:
                         _, h, before = found[i]
                         hit, ids = h if not len(hit) else (hit | h if len(h) else hit), ids | before
                     found[i] = (n, hit, ids)
             if not blocks:
-                found = [(len(normalise(t)), np.zeros(0, bool), set()) for t in texts]
-            rows = [{"n_words": n, "n_hit": int(hit.sum()), "n_items": len(ids), "item_ids": sorted(ids), "spans": original_spans(t, hit) if len(hit) else []} for t, (n, hit, ids) in zip(texts, found, strict=True)]
+                found = [(len(normalise(t.as_py())), np.zeros(0, bool), set()) for t in texts]
+            rows = [{"n_words": n, "n_hit": int(hit.sum()), "n_items": len(ids), "item_ids": sorted(ids), "spans": original_spans(t.as_py(), hit) if len(hit) else []} for t, (n, hit, ids) in zip(texts, found, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(rows, kind)], [*(f.name for f in fields), "contamination"])
+        give_back()
 
     out = documents.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"contamination struct<{_SCHEMA.replace(' long', ':long').replace(' array', ':array')}>"]))
     return out.withColumn("contaminated", F.col("contamination.n_items") >= min_items)

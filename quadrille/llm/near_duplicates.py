@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import components, discard, materialise, take_over
+from .runtime import components, discard, give_back, materialise, take_over
 from .text import chunks, mix, run_hashes, words
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -122,6 +122,7 @@ def _profiles(docs: DataFrame, k: int, trees: int, least: int, most: int) -> Dat
                 lists = [pa.ListArray.from_arrays(at, pa.array(x[n > 0].reshape(-1).view(np.int64))) for x in (keys, tails)]
                 figures = [pa.array(n.astype(np.int64)), pa.array(sets[:, 0].view(np.int64)), pa.array(sets[:, 1].view(np.int64))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *figures, *lists], ["id", "th", "n", "set_a", "set_b", "keys", "tails"])
+        give_back()
 
     return docs.mapInArrow(run, "id long, th long, n long, set_a long, set_b long, keys array<long>, tails array<long>")
 
@@ -165,12 +166,14 @@ def _verify(pairs: DataFrame, k: int, threshold: float) -> DataFrame:
                 similarity[i] = both / max(1, len(own) + len(other) - both)
             mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask), pa.array(similarity[keep])], ["x", "y", "j"])
+        give_back()
 
     return pairs.mapInArrow(run, f"x {U}, y {U}, j double")
 
 
 def _tile(k: int, threshold: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        take_over("near_duplicates")
         alone = not (pdf["side"] != 2).any()
         rows = pdf.drop_duplicates(["id", "th"]) if alone else pdf
         sets = [_set_of(t, k) for t in rows["text"]]

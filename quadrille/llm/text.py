@@ -71,9 +71,12 @@ def string_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; null counts as the empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("") if column.null_count else column.cast(pa.large_string())
+    if column.null_count:
+        column = column.fill_null("")
+    # The buffers are looked at where they are; only offsets are widened.
+    width = np.int64 if pa.types.is_large_string(column.type) else np.int32
     _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if offsets else np.zeros(1, np.int64)
+    at = np.frombuffer(offsets, width)[column.offset : column.offset + len(column) + 1].astype(np.int64) if offsets else np.zeros(1, np.int64)
     return (np.frombuffer(data, np.uint8) if data and data.size else np.zeros(0, np.uint8)), at
 
 

@@ -41,7 +41,7 @@ MASK_DELTA = 0xA282EAD8
 #: Bytes after which a task starts its next data file.
 FILE_BYTES = 64 << 20
 #: Distinct text pieces a worker keeps encoded, and their characters; when full, it starts anew. It bounds memory, not what is encoded.
-CACHE_PIECES, CACHE_CHARS = 800_000, 32 << 20
+CACHE_PIECES, CACHE_CHARS = 700_000, 32 << 20
 END_ID = 0
 
 
@@ -223,13 +223,13 @@ GROUP_BYTES = 3 << 20
 
 
 def encoded(encoder: PieceEncoder, batch: pa.RecordBatch) -> Iterator[tuple[int | None, np.ndarray]]:
-    keys, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.large_string())
-    size = np.cumsum(pc.binary_length(texts).to_numpy())
+    keys, texts = batch.column(0).to_pylist(), batch.column(1)
+    size = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
     first = 0
     while first < len(keys):
         base = size[first - 1] if first else 0
         end = max(first + 1, int(np.searchsorted(size, base + GROUP_BYTES, "right")))
-        ids, at = encoder.encode_all(texts.slice(first, end - first))
+        ids, at = encoder.encode_all(texts.slice(first, end - first).cast(pa.large_string()))
         for j in range(first, end):
             yield keys[j], ids[at[j - first] : at[j - first + 1]]
         first = end
