@@ -28,39 +28,59 @@ def _typed(triples: DataFrame, cls: str) -> DataFrame:
     return triples.where((F.col("p") == TYPE) & (F.col("o")["lex"] == cls)).select(F.col("s")["lex"].alias("prop"))
 
 
-def _step(new: DataFrame, all_: DataFrame) -> list[DataFrame]:
-    """Conclusions with at least one premise among the new triples."""
+#: What makes each rule worth a look: predicates of the schema, and classes of properties.
+TRIGGERS = {OWL + n for n in ("equivalentClass", "equivalentProperty", "inverseOf", "SymmetricProperty", "TransitiveProperty")} | {SUB_CLASS, SUB_PROPERTY, RDFS + "domain", RDFS + "range"}
+
+
+def _present(triples: DataFrame) -> set[str]:
+    """The triggers that occur among the triples, at most one row each."""
+    o = F.col("o")["lex"]
+    named = F.when(F.col("p") == TYPE, o).otherwise(F.col("p"))
+    found = {r[0] for r in triples.select(named.alias("t")).where(F.col("t").isin(*sorted(TRIGGERS))).distinct().collect()}
+    # Equivalence makes inclusions.
+    return found | {sub for eq, sub in ((OWL + "equivalentClass", SUB_CLASS), (OWL + "equivalentProperty", SUB_PROPERTY)) if eq in found}
+
+
+def _step(new: DataFrame, all_: DataFrame, present: set[str]) -> list[DataFrame]:
+    """Conclusions with at least one premise among the new triples, of the rules whose triggers are present."""
     out: list[DataFrame] = []
 
-    def both(rule) -> None:
-        out.append(rule(new, all_))
-        out.append(rule(all_, new))
+    def both(trigger: str, rule) -> None:
+        if trigger in present:
+            out.append(rule(new, all_))
+            out.append(rule(all_, new))
 
     iri = t.iri
     node = lambda n: new.where(F.col("p") == n)
     s, p, o = F.col("s"), F.col("p"), F.col("o")
+
+    def chained(a: DataFrame, b: DataFrame, first: str, sub: str) -> DataFrame:
+        """a first m, m sub o: a first o."""
+        return a.where(p == first).select("s", F.col("o").alias("m")).join(b.where(p == sub).select(F.col("s").alias("m"), "o"), "m").select("s", F.lit(first).alias("p"), "o")
+
     # equivalence gives inclusion both ways
     for eq, sub in ((OWL + "equivalentClass", SUB_CLASS), (OWL + "equivalentProperty", SUB_PROPERTY)):
-        out.append(node(eq).select("s", F.lit(sub).alias("p"), "o"))
-        out.append(node(eq).select(o.alias("s"), F.lit(sub).alias("p"), s.alias("o")))
-    # transitivity of inclusion
+        if eq in present:
+            out.append(node(eq).select("s", F.lit(sub).alias("p"), "o"))
+            out.append(node(eq).select(o.alias("s"), F.lit(sub).alias("p"), s.alias("o")))
+    # transitivity of inclusion, and types through it
     for sub in (SUB_CLASS, SUB_PROPERTY):
-        both(lambda a, b, sub=sub: a.where(p == sub).select("s", F.col("o").alias("m")).join(b.where(p == sub).select(F.col("s").alias("m"), "o"), "m").select("s", F.lit(sub).alias("p"), "o"))
-    # types through inclusion
-    both(lambda a, b: a.where(p == TYPE).select("s", F.col("o").alias("m")).join(b.where(p == SUB_CLASS).select(F.col("s").alias("m"), "o"), "m").select("s", F.lit(TYPE).alias("p"), "o"))
+        both(sub, lambda a, b, sub=sub: chained(a, b, sub, sub))
+    both(SUB_CLASS, lambda a, b: chained(a, b, TYPE, SUB_CLASS))
     # triples through property inclusion, inverses, domains and ranges
-    both(lambda a, b: a.join(_pairs(b, SUB_PROPERTY, "pa", "pb"), F.col("p") == F.col("pa")).select("s", F.col("pb").alias("p"), "o"))
-    for flip in (False, True):
-        both(lambda a, b, flip=flip: a.join(_pairs(b, OWL + "inverseOf", "pb" if flip else "pa", "pa" if flip else "pb"), F.col("p") == F.col("pa")).select(F.col("o").alias("s"), F.col("pb").alias("p"), F.col("s").alias("o")))
-    both(lambda a, b: a.join(_pairs(b, RDFS + "domain", "pa", "c"), F.col("p") == F.col("pa")).select("s", F.lit(TYPE).alias("p"), iri(F.col("c")).alias("o")))
-    both(lambda a, b: a.join(_pairs(b, RDFS + "range", "pa", "c"), F.col("p") == F.col("pa")).where(o["k"] != t.LITERAL).select(F.col("o").alias("s"), F.lit(TYPE).alias("p"), iri(F.col("c")).alias("o")))
+    both(SUB_PROPERTY, lambda a, b: a.join(_pairs(b, SUB_PROPERTY, "pa", "pb"), F.col("p") == F.col("pa")).select("s", F.col("pb").alias("p"), "o"))
+    for pa, pb in (("pa", "pb"), ("pb", "pa")):
+        both(OWL + "inverseOf", lambda a, b, pa=pa, pb=pb: a.join(_pairs(b, OWL + "inverseOf", pa, pb), F.col("p") == F.col("pa")).select(F.col("o").alias("s"), F.col("pb").alias("p"), F.col("s").alias("o")))
+    both(RDFS + "domain", lambda a, b: a.join(_pairs(b, RDFS + "domain", "pa", "c"), F.col("p") == F.col("pa")).select("s", F.lit(TYPE).alias("p"), iri(F.col("c")).alias("o")))
+    both(RDFS + "range", lambda a, b: a.join(_pairs(b, RDFS + "range", "pa", "c"), F.col("p") == F.col("pa")).where(o["k"] != t.LITERAL).select(F.col("o").alias("s"), F.lit(TYPE).alias("p"), iri(F.col("c")).alias("o")))
     # symmetric and transitive properties
-    both(lambda a, b: a.join(_typed(b, OWL + "SymmetricProperty"), F.col("p") == F.col("prop")).select(F.col("o").alias("s"), "p", F.col("s").alias("o")))
-    links = all_.join(_typed(all_, OWL + "TransitiveProperty"), F.col("p") == F.col("prop"))
-    fresh = new.join(_typed(all_, OWL + "TransitiveProperty"), F.col("p") == F.col("prop"))
-    late = all_.join(_typed(new, OWL + "TransitiveProperty"), F.col("p") == F.col("prop"))
-    for a, b in ((fresh, links), (links, fresh), (late, links)):
-        out.append(a.select("p", "s", F.col("o").alias("m")).join(b.select("p", F.col("s").alias("m"), "o"), ["p", "m"]).select("s", "p", "o"))
+    both(OWL + "SymmetricProperty", lambda a, b: a.join(_typed(b, OWL + "SymmetricProperty"), F.col("p") == F.col("prop")).select(F.col("o").alias("s"), "p", F.col("s").alias("o")))
+    if OWL + "TransitiveProperty" in present:
+        links = all_.join(_typed(all_, OWL + "TransitiveProperty"), F.col("p") == F.col("prop"))
+        fresh = new.join(_typed(all_, OWL + "TransitiveProperty"), F.col("p") == F.col("prop"))
+        late = all_.join(_typed(new, OWL + "TransitiveProperty"), F.col("p") == F.col("prop"))
+        for a, b in ((fresh, links), (links, fresh), (late, links)):
+            out.append(a.select("p", "s", F.col("o").alias("m")).join(b.select("p", F.col("s").alias("m"), "o"), ["p", "m"]).select("s", "p", "o"))
     return [x.where(F.col("s")["k"] != t.LITERAL) for x in out]
 
 
@@ -68,8 +88,13 @@ def infer(dataset: Dataset) -> DataFrame:
     """Inferred triples (s, p, o) that are not asserted in any graph. Rules make no new terms, so the rounds come to an end."""
     base = cut(dataset.quads.select("s", "p", "o").distinct())
     total, new = base, base
+    present: set[str] = set()
     while True:
-        made = reduce(DataFrame.union, _step(new, total)).distinct()
+        present |= _present(new)
+        steps = _step(new, total, present)
+        if not steps:
+            break
+        made = reduce(DataFrame.union, steps).distinct()
         new = cut(made.join(total, ["s", "p", "o"], "left_anti"))
         if new.isEmpty():
             break

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import terms as t
-from ..plans.algebra import RDF, RDFS
+from ..plans.algebra import RDF, RDFS, STRING, XSD
 from ..sources.dataset import Dataset
 from .paths import cut
 
@@ -128,3 +128,27 @@ def validate(data: Dataset, shapes: DataFrame) -> DataFrame:
                 allowed = spark.createDataFrame([(x,) for x in arg], t.T.StructType([t.T.StructField("value", t.TERM)]))
                 parts.append(report(there.join(allowed, "value", "left_anti"), F.lit("not among the allowed values"), value))
     return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], REPORT)
+
+
+def report_quads(report: DataFrame) -> DataFrame:
+    """A report's rows as RDF: one sh:ValidationReport, and a sh:ValidationResult for each row."""
+    spark = report.sparkSession
+    text = lambda c: t.literal(F.col(c), STRING)
+    # Values and focus nodes are reported by their text: an IRI where it reads as one.
+    node = lambda c: F.when(F.col(c).rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:\S*$"), t.iri(F.col(c))).otherwise(text(c))
+    numbered = cut(report.withColumn("_n", F.monotonically_increasing_id().cast("string")))
+    result, whole = t.term(t.BNODE, F.concat(F.lit("result"), F.col("_n"))), t.term(t.BNODE, F.lit("report"))
+    parts = [
+        (whole, "result", result), (result, RDF + "type", t.iri(SH + "ValidationResult")), (result, "focusNode", node("focus_node")), (result, "resultPath", t.iri(F.col("path"))),
+        (result, "sourceShape", node("source_shape")), (result, "sourceConstraintComponent", t.iri(F.col("source_constraint_component"))),
+        (result, "resultSeverity", t.iri(F.concat(F.lit(SH), F.col("severity")))), (result, "resultMessage", text("message")), (result, "value", node("value")),
+    ]
+    needs = {"resultPath": "path", "value": "value"}
+    made = [F.when(F.col(needs[p]).isNotNull() if p in needs else F.lit(True), F.struct(s.alias("s"), F.lit(p if p == RDF + "type" else SH + p).alias("p"), o.alias("o"))) for s, p, o in parts]
+    rows = numbered.select(F.explode(F.array(*made)).alias("x")).where("x IS NOT NULL").select("x.*")
+    conforms = "true" if numbered.where("severity = 'Violation'").isEmpty() else "false"
+    head = spark.range(1).select(F.explode(F.array(
+        F.struct(whole.alias("s"), F.lit(RDF + "type").alias("p"), t.iri(SH + "ValidationReport").alias("o")),
+        F.struct(whole.alias("s"), F.lit(SH + "conforms").alias("p"), t.literal(F.lit(conforms), XSD + "boolean").alias("o")),
+    )).alias("x")).select("x.*")
+    return head.union(rows).select(F.lit(None).cast("string").alias("g"), "s", "p", "o")

@@ -2,8 +2,10 @@
 
 import pytest
 
+from quadrille.operators import shacl
 from quadrille.plans import cypher
 from quadrille.sources import formats, ntriples, results, turtle
+from quadrille.sources.dataset import Dataset
 from quadrille.store import Store
 
 P = "PREFIX : <http://ex/> "
@@ -66,6 +68,11 @@ def test_shacl(spark):
     s = filled(spark, ":a a :P ; :age 3 ; :kind :u . :b a :Q . :Q rdfs:subClassOf :P . :c a :P ; :age 'old' ; :kind :w .")
     got = sorted((r["focus_node"][-1], r["source_constraint_component"].split("#")[1]) for r in s.validate(shapes).collect())
     assert got == [("b", "MinCountConstraintComponent"), ("c", "DatatypeConstraintComponent"), ("c", "InConstraintComponent")]
+    report = Store.over(Dataset(shacl.report_quads(s.validate(shapes))))
+    q = "PREFIX sh: <http://www.w3.org/ns/shacl#> SELECT ?f ?c { ?r a sh:ValidationReport ; sh:conforms false ; sh:result ?x . ?x sh:focusNode ?f ; sh:sourceConstraintComponent ?c }"
+    assert sorted((f[-1], c.split("#")[1]) for f, c in values(report.query(q))) == got
+    fine = shacl.report_quads(s.validate(turtle.frame(spark, [])))
+    assert fine.count() == 2
 
 
 def test_text_search(spark):
