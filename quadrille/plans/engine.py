@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,8 +47,39 @@ def decode(c: Column, kind: str | None) -> Column:
     return t.moment(c) if kind == "timestamp" else lex.try_cast(kind)
 
 
-def run(dataset: Dataset, text: str, options: Options | None = None, base: str | None = None, prefixes: dict[str, str] | None = None) -> Result:
-    return run_parsed(dataset, parse_query(text, base, prefixes), options)
+def run(dataset: Dataset, text: str, options: Options | None = None, base: str | None = None, prefixes: dict[str, str] | None = None, *, substitutions: dict[str, tuple] | None = None, default_graphs: list | None = None, named_graphs: list | None = None) -> Result:
+    """substitutions: terms that take the place of variables; default_graphs, named_graphs: instead of FROM and FROM NAMED."""
+    query = parse_query(text, base, prefixes)
+    if default_graphs is not None or named_graphs is not None:
+        query = replace(query, default_graphs=default_graphs, named_graphs=named_graphs)
+    if substitutions:
+        query = replace(query, pattern=substituted(query.pattern, substitutions), template=[tuple(_put(x, substitutions, False) for x in q) for q in query.template])
+    return run_parsed(dataset, query, options)
+
+
+def _put(x, terms: dict[str, tuple], expression: bool):
+    """x with the terms in place of their variables: plain in patterns, as constants in expressions."""
+    if isinstance(x, A.Node):
+        return substituted(x, terms)
+    if isinstance(x, tuple):
+        if len(x) == 2 and x[0] == "var" and x[1] in terms:
+            return ("const", terms[x[1]]) if expression else terms[x[1]]
+        return tuple(_put(y, terms, expression) for y in x)
+    return x
+
+
+def substituted(node: A.Node, terms: dict[str, tuple]) -> A.Node:
+    changed = {f.name: _put(getattr(node, f.name), terms, f.name in ("condition", "value", "keys", "aggregates")) for f in fields(node)}
+    if isinstance(node, A.Group):
+        changed["keys"] = tuple(k for k in node.keys if k not in terms)
+    out = replace(node, **changed)
+    if isinstance(node, A.Project) and (named := [n for n in node.names if n in terms]):
+        # A variable that is asked for comes back as its term.
+        child = out.child
+        for n in named:
+            child = A.Extend(child, n, ("const", terms[n]))
+        out = replace(out, child=child)
+    return out
 
 
 def run_parsed(dataset: Dataset, query: A.Query, options: Options | None = None) -> Result:

@@ -279,7 +279,9 @@ class _JsonLd:
 
 
 def parse(text: str | bytes, form: str, base: str | None = None, rename_blank_nodes: bool = True, without_named_graphs: bool = False) -> list[tuple]:
-    """Quads of a document as plan terms: (graph or None, s, p, o)."""
+    """Quads of a document, or of a file object, as plan terms: (graph or None, s, p, o)."""
+    if hasattr(text, "read"):
+        text = text.read()
     form = format_of(form)
     scope = uuid.uuid4().hex[:8] + "_" if rename_blank_nodes else ""
     if form == "rdfxml":

@@ -55,6 +55,14 @@ def test_construct_blank_nodes_are_new_for_each_solution(store):
     assert len(found) == 2
 
 
+def test_substitutions_and_dataset_arguments(store):
+    q = "PREFIX : <urn:> SELECT ?x ?i { ?x :item ?i FILTER(?i != ?not) }"
+    three = ("lit", "1", "http://www.w3.org/2001/XMLSchema#integer", None, None)
+    assert [tuple(r) for r in store.query(q, substitutions={"x": ("iri", "urn:a"), "not": three}).decode().collect()] == [("urn:a", "2")]
+    tags = store.query("PREFIX : <urn:> SELECT ?t { :a :tag ?t }", default_graphs=["urn:g"]).decode().collect()
+    assert [tuple(r) for r in tags] == [("in g",)]
+
+
 def test_result_names_hide_variables(spark):
     s = Store(spark)
     s.cypher_update("CREATE (a:P {name: 'Ann', age: 40})-[:KNOWS]->(b:P {name: 'Ben', age: 20})")
