@@ -348,6 +348,29 @@ def test_fuzzy_lines_recall(spark):
     assert fuzzy_lines.with_bands(both, "y").where(~F.arrays_overlap("keys", "k")).count() <= 5
 
 
+@pytest.mark.parametrize("words", [5, 11, 16, 40])
+def test_fuzzy_lines_recall_of_words(spark, words):
+    """Lines of words with changed letters or words, at 0.8 to 0.87: at least 95 of 100 pairs share a band key."""
+    rng = np.random.default_rng(words)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    sets = lambda x: {x[i : i + 8] for i in range(len(x) - 7)}
+    pairs = []
+    while len(pairs) < 300:
+        line = [" ".join("".join(rng.choice(letters, int(rng.integers(2, 10)))) for _ in range(words))] * 2
+        while True:
+            at = int(rng.integers(0, len(line[1])))
+            line[1] = line[1][:at] + str(rng.choice(letters)) + line[1][at + 1 :]
+            a, b = map(sets, line)
+            if len(a & b) < 0.87 * len(a | b):
+                break
+        if len(a & b) >= 0.8 * len(a | b):
+            pairs.append(tuple(line))
+    df = spark.createDataFrame(pairs, "x string, y string")
+    keys = lambda c: fuzzy_lines.with_bands(df, c).groupBy("x", "y").agg(F.flatten(F.collect_list("keys")).alias(f"k{c}"))
+    found = keys("x").join(keys("y"), ["x", "y"]).where(F.arrays_overlap("kx", "ky")).count()
+    assert found >= 0.95 * len(pairs), found
+
+
 def test_fuzzy_lines_repeated_rows(spark):
     """Rows that repeat key and text are one document; rows that lack a key and differ in text are several."""
     line = "a line of some length that stands in all of these"
