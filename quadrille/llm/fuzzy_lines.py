@@ -31,7 +31,7 @@ SHINGLE, THRESHOLD = 8, 0.8
 BANDS, ROWS = 12, 4
 #: Words, and characters to each, at the two ends of the border between the kinds of signature.
 FEW, SPARSE = (8, 14), (14, 24)
-NODE_ROWS, TILE_ROWS, TILE_CHARS = 128, 256, 1 << 20
+NODE_ROWS, TILE_ROWS, TILE_CHARS = 32, 256, 1 << 20
 
 
 def _runs(line: Column, by=F.xxhash64) -> Column:
@@ -175,6 +175,9 @@ def line_classes(documents: DataFrame, *, key: str = "doc_id", text: str = "text
     shared = keys.groupBy("k").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low != high").select("k", "low")
     shared = materialise(shared, "line-nodes")
     members = materialise(keys.join(shared, "k").select("k", "low", "a").distinct(), "line-members")
+    # The signatures have done their work; the lines' places stay.
+    places = materialise(signed.select("id", "th", "at", "a", "b"), "line-places")
+    discard(signed, shared)
     sizes = materialise(members.groupBy("k").agg(F.count("*").alias("m")).where(F.col("m") > NODE_ROWS).select("k"), "line-buckets")
     large = not sizes.isEmpty()
     small = members.join(sizes, "k", "left_anti") if large else members
@@ -184,7 +187,7 @@ def line_classes(documents: DataFrame, *, key: str = "doc_id", text: str = "text
         big = materialise(members.join(sizes, "k").select("k", "low", "a"), "line-big")
         pairs = pairs.union(big.where("low != a").select(F.col("low").alias("x"), F.col("a").alias("y")))
     pairs = materialise(pairs.distinct(), "line-pairs")
-    discard(shared, members)
+    discard(members)
     wanted = pairs.select(F.col("x").alias("a")).union(pairs.select(F.col("y").alias("a"))).distinct()
     # A line's text is taken where it stands first; a repeated document has that place twice.
     named = materialise(lines.join(wanted, "a", "left_semi").select("a", "b", "first"), "line-named")
@@ -203,7 +206,7 @@ def line_classes(documents: DataFrame, *, key: str = "doc_id", text: str = "text
     roots = materialise(components(edges).where("node != root").select(F.col("node.a").alias("a"), F.col("node.b").alias("b"), "root"), "line-roots")
     discard(texts, pairs)
     found = lines.join(roots, ["a", "b"], "left").select("a", "b", "first", "n", F.coalesce("root", F.struct("first", "a", "b")).alias("root"))
-    return signed.select("id", "th", "at", "a", "b"), found
+    return places, found
 
 
 def without_fuzzy_lines(documents: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
