@@ -82,8 +82,8 @@ _OTHER_SPACE = r"\t\r\v\f\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\
 _RUNS = rf"[ \n][ \n]|\A[ \n]|[ \n]\z|[{_OTHER_SPACE}]"
 _CUT = "\0"
 _PLAIN = rf"\A ?[^ \n{_OTHER_SPACE}]+\z"
-#: Pieces that are encoded in one line.
-LINE_PIECES = 100
+#: Pieces that are encoded in one line, and lines or pieces in one call, which bounds the encodings held at a time.
+LINE_PIECES, CALL_LINES = 100, 64
 
 
 class PieceEncoder:
@@ -136,6 +136,12 @@ class PieceEncoder:
             flat = pc.replace_with_mask(flat, pa.array(mask), texts.filter(whole))
         return flat, at
 
+    def ids_in_calls(self, texts: list[str]) -> Iterator[list[int]]:
+        """Ids of each text. Nobody asks for offsets, so none are tracked."""
+        for i in range(0, len(texts), CALL_LINES):
+            for x in self.tokenizer.encode_batch_fast(texts[i : i + CALL_LINES], add_special_tokens=False):
+                yield x.ids
+
     def ids_of(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces in a row, and how many each has.
 
@@ -147,9 +153,8 @@ class PieceEncoder:
         lists: list[list[int]] = []
         texts = [p for p, x in zip(new, plain, strict=True) if x]
         if self.line is not None and texts:
-            for i in range(0, len(texts), LINE_PIECES):
-                lists.append(self.tokenizer.encode("\n".join(texts[i : i + LINE_PIECES]), add_special_tokens=False).ids)
-                lists.append([self.line])
+            for ids in self.ids_in_calls(["\n".join(texts[i : i + LINE_PIECES]) for i in range(0, len(texts), LINE_PIECES)]):
+                lists += [ids, [self.line]]
             flat = np.array(list(chain.from_iterable(lists)), np.uint32)
             ends = np.flatnonzero(flat == self.line)
             if len(ends) != len(texts):
@@ -159,7 +164,7 @@ class PieceEncoder:
         else:
             plain[:] = False
             many = np.zeros(0, np.uint32)
-        others = [self.tokenizer.encode(p, add_special_tokens=False).ids for p, x in zip(new, plain, strict=True) if not x]
+        others = list(self.ids_in_calls([p for p, x in zip(new, plain, strict=True) if not x]))
         sizes[~plain] = [len(x) for x in others]
         after = np.cumsum(sizes)
         ids = np.zeros(int(after[-1]), np.uint32)

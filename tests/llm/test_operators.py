@@ -201,6 +201,26 @@ def test_token_records(spark, docs, rows, tmp_path):
     assert token_records.write_and_digest(docs.limit(0), queries.tokenizer_path()).count() == 0
 
 
+def test_token_records_in_calls():
+    """New pieces are encoded many to a call and without offsets, never one by one; ids are the library's."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.tokenizer_path())
+    encoder = token_records.PieceEncoder(queries.tokenizer_path())
+    sizes = []
+
+    class Fast:
+        def encode_batch_fast(self, texts, **options):
+            sizes.append(len(texts))
+            return t.encode_batch_fast(texts, **options)
+
+    encoder.tokenizer = Fast()
+    texts = [" ".join(f"w{i}é{k}" for i in range(1200)) + "\n\n" + "  ".join(f"x{i}y{k}" for i in range(90)) for k in range(6)]
+    for text in texts:
+        assert encoder.encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
+    assert 1 < max(sizes) <= token_records.CALL_LINES
+
+
 def test_mixing(docs, rows, spark):
     found = mixing.mixed(docs.withColumn("copies", F.lit("x"))).collect()
     assert len(found) == len(rows)
