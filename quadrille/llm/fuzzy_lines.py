@@ -10,9 +10,9 @@ band are candidates, exact Jaccard on all shingles verifies them, and distribute
 line number, in its first place only.
 
 A bucket of up to NODE_ROWS distinct lines gives its pairs. Larger buckets that share lines are united into groups. Their
-lines meet one line of each bucket; what that leaves outside a group's largest component is dealt into tiles of bounded
-size and verified against all lines of the group. Every pair of a bucket is thus verified, or joined by others: nothing is
-capped or dropped. Pairs that share no bucket are no candidates and are passed over.
+lines meet one line of each bucket; what that leaves outside a group's largest component meets all lines of the group that
+can reach the threshold with it, found by an exact prefix filter. Every pair of a bucket that reaches the threshold is thus
+verified, or joined by others: nothing is capped or dropped. Pairs that share no bucket are no candidates and are passed over.
 
 Null and empty texts have no lines. A line shorter than a shingle equals only its like. Rows that repeat both key and text
 are one document and get one and the same result; documents that share or lack a key and differ in text are ordered by
@@ -31,7 +31,9 @@ SHINGLE, THRESHOLD = 8, 0.8
 BANDS, ROWS = 12, 4
 #: Words, and characters to each, at the two ends of the border between the kinds of signature.
 FEW, SPARSE = (8, 14), (14, 24)
-NODE_ROWS, TILE_ROWS, TILE_CHARS = 32, 256, 1 << 20
+NODE_ROWS = 32
+#: Lines of a group, about, that tell which of its shingles are common. The choice changes the work, not the result.
+SAMPLE_LINES = 32
 
 
 def _runs(line: Column, by=F.xxhash64) -> Column:
@@ -96,64 +98,34 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return sets.where(F.col("_n") >= threshold * (F.col("xn") + F.col("yn") - F.col("_n")) - 1e-9).select("a", "b")
 
 
-def _joined(items: Column, threshold: float) -> Column:
-    """Labels of a tile's lines (u, c, k, side, s): places of lines, equal where lines have one c or are linked by a chain of pairs.
+def _linked(dealt: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """dealt: lines (g, u, c, line) of groups g, joined as far as c says -> edges (a, b) of all pairs of a group that reach the threshold and lie in two c, one of them outside the largest.
 
-    A line is compared with those before it, but not with lines whose label it bears or has just found.
+    Pairs are found by their prefixes. Let all lines of a group order their shingles alike: two lines that reach the threshold have
+    so many in common that the first of these stands early in both, so only lines that share an early shingle are verified.
+    Whichever the order, no pair is lost; shingles that a sample of the group shares are put last, so that lines which
+    have much of their own begin with it and meet nobody.
     """
-
-    def of(x: Column) -> Column:
-        n = F.size(x)
-
-        def similar(p: Column, q: Column) -> Column:
-            a, b = F.size(p["s"]), F.size(q["s"])
-            return F.when(_could(a, b, threshold) & F.arrays_overlap(p["k"], q["k"]), let(F.size(F.array_intersect(p["s"], q["s"])), lambda both: both >= threshold * (a + b - both) - 1e-9)).otherwise(False)
-
-        def step(labels: Column, i: Column) -> Column:
-            def meet(found: Column, k: Column) -> Column:
-                known = F.array_contains(found, F.get(labels, k))
-                p, q = F.get(x, i), F.get(x, k)
-                paired = (p["side"] != q["side"]) | (p["side"] == 2)
-                return F.when(known, found).when(paired, F.when(similar(p, q), F.array_append(found, F.get(labels, k))).otherwise(found)).otherwise(found)
-
-            met = F.aggregate(F.sequence(F.lit(0), i - 1), F.array(F.get(labels, i)), meet)
-            return let(met, lambda m: F.when(F.size(m) == 1, labels).otherwise(let(F.array_min(m), lambda low: F.transform(labels, lambda l: F.when(F.array_contains(m, l), low).otherwise(l)))))
-
-        start = let(F.transform(x, lambda p: p["c"]), lambda c: F.transform(c, lambda own: F.array_position(c, own) - 1))
-        return F.when(n < 2, start).otherwise(F.aggregate(F.sequence(F.lit(1), n - 1), start, step))
-
-    return let(items, of)
-
-
-def _tiled(dealt: DataFrame, threshold: float) -> DataFrame:
-    """dealt: lines (g, u, c, k, line) of groups g, in buckets k, joined as far as c says -> links (a, b) that join what pairs of a group join.
-
-    The largest component of a group is joined already, so only the lines outside it meet all others. A tile pair gives a
-    row for each line that it links, never one for each pair.
-    """
-    parts = dealt.groupBy("g", "c").agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("chars"))
-    parts = materialise(parts, "line-parts")
-    whole = parts.groupBy("g").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("n"), F.sum("chars").alias("chars")).where("top.n < n")
-    top = parts.select("g", F.col("c").alias("top_c"), F.col("chars").alias("top_chars"))
-    whole = whole.join(top, ["g"]).where("top_c = top.c")
-
-    def tiles(n: Column, chars: Column) -> Column:
-        return F.greatest(F.lit(1), F.ceil(F.greatest(n / TILE_ROWS, chars / TILE_CHARS))).cast("int")
-
-    sizes = whole.select("g", F.col("top.c").alias("top"), tiles(F.col("top.n"), F.col("top_chars")).alias("many"), tiles(F.col("n") - F.col("top.n"), F.col("chars") - F.col("top_chars")).alias("few"))
-    t = dealt.join(materialise(sizes, "line-sizes"), "g").withColumn("main", F.col("c") == F.col("top"))
-    own = F.pmod(F.xxhash64("u"), F.when(F.col("main"), F.col("many")).otherwise(F.col("few"))).cast("int")
-    # Tiles of the lines outside are numbered from 0, those of the largest component from `few` on.
-    t = t.withColumn("t", F.when(F.col("main"), own + F.col("few")).otherwise(own))
-    others = F.sequence(F.lit(0), F.when(F.col("main"), F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)
-    t = t.select("g", "u", "c", "k", "line", "t", F.explode(others).alias("o"))
-    # Side 2 marks the lines of a tile that is paired with itself.
-    side = F.when(F.col("t") == F.col("o"), 2).when(F.col("t") < F.col("o"), 0).otherwise(1)
-    t = t.groupBy("g", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j")).agg(F.collect_list(F.struct("u", "c", "k", side.alias("side"), "line")).alias("x"))
-    sets = F.transform("x", lambda p: F.struct(p["u"].alias("u"), p["c"].alias("c"), p["k"].alias("k"), p["side"].alias("side"), shingles(p["line"]).alias("s")))
-    t = t.where(F.size("x") > 1).select("x", _joined(sets, threshold).alias("labels"))
-    t = t.select(F.explode(F.transform("x", lambda p, k: F.struct(p.alias("p"), F.get(F.col("x"), F.get("labels", k).cast("int")).alias("q")))).alias("e"))
-    return materialise(t.where("e.p.c != e.q.c").select(F.col("e.p.u").alias("a"), F.col("e.q.u").alias("b")), "line-tiles")
+    parts = materialise(dealt.groupBy("g", "c").agg(F.count("*").alias("n")), "line-parts")
+    whole = parts.groupBy("g").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("all")).where("top.n < all").select("g", F.col("top.c").alias("top"), "all")
+    open_ = dealt.join(materialise(whole, "line-open"), "g")
+    sampled = F.pmod(F.xxhash64("u"), F.ceil(F.col("all") / SAMPLE_LINES)) == 0
+    # From here on a group is its hash: were two to share one, their lines would meet in vain.
+    sets = open_.select(F.xxhash64("g").alias("g"), F.col("u.a").alias("a"), F.col("c.a").alias("c"), (F.col("c") == F.col("top")).alias("main"), sampled.alias("sampled"), shingles(F.col("line")).alias("s"))
+    sets = materialise(sets, "line-sets")
+    common = sets.where("sampled").select("g", F.explode("s").alias("t")).groupBy("g", "t").agg(F.count("*").alias("n")).where("n > 1")
+    common = materialise(common.groupBy("g").agg(F.collect_list("t").alias("often")), "line-common")
+    x = sets.join(common, "g", "left").withColumn("often", F.coalesce("often", F.array().cast("array<bigint>")))
+    x = x.withColumn("s", F.concat(F.sort_array(F.array_except("s", "often")), F.sort_array(F.array_intersect("s", "often")))).withColumn("n", F.size("s"))
+    early = F.slice("s", F.lit(1), (F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1).cast("int"))
+    x = materialise(x.select("g", "a", "c", "main", "n", F.posexplode(early).alias("at", "t")), "line-prefixes")
+    p, q = x.where("NOT main").alias("p"), x.alias("q")
+    # Of a pair's shared shingles, the first leaves no more to share than what stands from it on.
+    left = F.least(F.col("p.n") - F.col("p.at"), F.col("q.n") - F.col("q.at"))
+    enough = left * (1 + threshold) >= threshold * (F.col("p.n") + F.col("q.n")) - 1e-6
+    pairs = p.join(q, (F.col("p.g") == F.col("q.g")) & (F.col("p.t") == F.col("q.t")) & (F.col("p.c") != F.col("q.c")) & (F.col("q.main") | (F.col("p.a") < F.col("q.a"))) & enough)
+    pairs = materialise(pairs.select(F.col("p.a").alias("x"), F.col("q.a").alias("y")).distinct(), "line-met")
+    return materialise(_verified(pairs, texts, threshold), "line-links")
 
 
 def _lines(documents: DataFrame, key: str, text: str) -> DataFrame:
@@ -196,12 +168,11 @@ def line_classes(documents: DataFrame, *, key: str = "doc_id", text: str = "text
     edges = materialise(_verified(pairs, texts, threshold), "line-edges")
     if large:
         nodes = texts.select("a", "u")
-        buckets = nodes.join(big.groupBy("a").agg(F.collect_set("k").alias("k")), "a").select("u", "k")
         both = big.select("low", "a").distinct().join(nodes, "a").join(nodes.select(F.col("a").alias("low"), F.col("u").alias("l")), "low")
         groups = components(both.select(F.col("u").alias("a"), F.col("l").alias("b"))).select(F.col("node").alias("u"), F.col("root").alias("g"))
         near = components(edges)
-        dealt = groups.join(near, F.col("u") == F.col("node"), "left").select("g", "u", F.coalesce("root", "u").alias("c")).join(buckets, "u").join(texts.select("u", "line"), "u")
-        edges = edges.union(_tiled(materialise(dealt, "line-groups"), threshold))
+        dealt = groups.join(near, F.col("u") == F.col("node"), "left").select("g", "u", F.coalesce("root", "u").alias("c")).join(texts.select("u", "line"), "u")
+        edges = edges.union(_linked(materialise(dealt, "line-groups"), texts, threshold))
         discard(big)
     roots = materialise(components(edges).where("node != root").select(F.col("node.a").alias("a"), F.col("node.b").alias("b"), "root"), "line-roots")
     discard(texts, pairs)

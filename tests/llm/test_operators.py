@@ -358,6 +358,29 @@ def test_fuzzy_lines_large_family(spark, monkeypatch):
     assert kept == set(roots) and 1 < len(kept) < 120
 
 
+def test_fuzzy_lines_groups_meet_by_prefixes(spark, monkeypatch):
+    """A group of near copies and of lines that share a passage and go on by themselves: its links are those of all pairs, and the latter are never compared."""
+    rng = np.random.default_rng(3)
+    lines = _family(60, 5, 3)
+    passage = lines[0][: len(lines[0]) // 2]
+    lines += [passage + " " + " ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(40)) for _ in range(200)]
+    roots, n = _line_roots(lines), len(lines)
+    rows = [(i, x, len({x[k : k + 8] for k in range(len(x) - 7)})) for i, x in enumerate(lines)]
+    u = lambda c: F.struct(F.struct(c.alias("id"), F.lit(0).cast("long").alias("th"), F.lit(0).alias("at")).alias("first"), c.alias("a"), c.alias("b"))
+    texts = spark.createDataFrame(rows, "a long, line string, n int").withColumn("u", u(F.col("a")))
+    dealt = texts.select(u(F.lit(0).cast("long")).alias("g"), "u", F.col("u").alias("c"), "line")
+    compared, verified = [], fuzzy_lines._verified
+
+    def counting(pairs, *others):
+        compared.append(pairs.count())
+        return verified(pairs, *others)
+
+    monkeypatch.setattr(fuzzy_lines, "_verified", counting)
+    found = fuzzy_lines.components(fuzzy_lines._linked(dealt, texts, 0.8)).select("node.a", F.col("root.a").alias("r")).collect()
+    label = {r["a"]: r["r"] for r in found}
+    assert [label.get(i, i) for i in range(n)] == roots and compared[0] <= 60 * 59 // 2
+
+
 def test_fuzzy_lines_recall(spark):
     """Pairs just over the threshold share a band key, but for a few in a thousand."""
     rng = np.random.default_rng(4)
