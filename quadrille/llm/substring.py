@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import discard, materialise
+from .runtime import discard, give_back, materialise, take_over
 from .text import Words, chunks, mix, run_hashes, span_hashes, words
 
 WINDOW, ANCHOR = 35, 8
@@ -90,6 +90,7 @@ def _positions(documents: DataFrame, window: int) -> DataFrame:
     from pyspark import TaskContext
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("substring")
         place = TaskContext.get().partitionId() << _POSITION_BITS
         for batch in batches:
             ids, hashes = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
@@ -100,6 +101,7 @@ def _positions(documents: DataFrame, window: int) -> DataFrame:
                     first = np.searchsorted(doc, np.arange(b - a))
                     yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][doc]), pa.array(hashes[a:b][doc]), pa.array((np.arange(len(doc)) - first[doc]).astype(np.int32)), pa.array(begin + place), _signed(anchor), _signed(content)], ["id", "th", "k", "at", "anchor", "content"])
                 place += len(w.hash)
+        give_back()
 
     return documents.mapInArrow(run, "id long, th long, k int, at long, anchor long, content long")
 
@@ -180,43 +182,12 @@ def without_repeats(documents: DataFrame, *, key: str = "doc_id", text: str = "t
     # First pass over the texts with their marks: documents with nothing to look up are parsed at once; the others wait,
     # with the windows that need a look.
     pending = "`_id` long, `_th` long, `_text` string, `_found` array<struct<k:int,at:long>>, `_anchor` array<long>, `_window` array<long>, `_k` array<int>, `_at` array<long>"
-    found_kind = pa.list_(pa.struct([("k", pa.int32()), ("at", pa.int64())]))
-    kinds = [pa.int64(), pa.int64(), pa.string(), found_kind, pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("substring")
         for batch in batches:
-            names = batch.schema.names
-            found, lookup = batch.column(names.index("_mark_found")), batch.column(names.index("_mark_lookup"))
-            ids, hashes = batch.column(names.index("_id")), batch.column(names.index("_th"))
-            results: list[tuple] = []
-            waits: list[tuple] = []
-            for a, b, data, offsets in chunks(batch.column(at)):
-                w = words(data, offsets)
-                doc, begin, size, anchor, _ = phrases(w, window)
-                edges = np.searchsorted(doc, np.arange(b - a + 1))
-                for d in range(b - a):
-                    own = w.of(d)
-                    n = own.stop - own.start
-                    yes, look = found[a + d].as_py() or [], lookup[a + d].as_py() or []
-                    places = np.full(max(0, n - window + 1), -1, np.int64)
-                    for mark in sorted(yes, key=lambda m: (m["k"], -m["at"])):
-                        x = edges[d] + mark["k"]
-                        places[begin[x] - own.start : begin[x] - own.start + size[x]] = mark["at"] + np.arange(size[x])
-                    raw = bytes(data[offsets[d] : offsets[d + 1]])
-                    if look:
-                        # A repeated row has each of its phrases at two places; one of them is looked up.
-                        marks = list({m["k"]: m["at"] for m in look}.items())
-                        pick = edges[d] + np.array([k for k, _ in marks])
-                        looked = np.concatenate([np.arange(begin[x], begin[x] + size[x]) - own.start for x in pick])
-                        real = np.concatenate([np.arange(p, p + size[x]) for x, (_, p) in zip(pick, marks, strict=True)])
-                        hashed = run_hashes(w.hash[own], window, _WINDOW_BASE)[looked]
-                        results.append((n,) + (None,) * (len(_RESULT) - 1))
-                        known = np.flatnonzero(places >= 0)
-                        waits.append((ids[a + d].as_py(), hashes[a + d].as_py(), raw.decode(), [{"k": int(k), "at": int(places[k])} for k in known], np.repeat(anchor[pick], size[pick]).view(np.int64), hashed.view(np.int64), looked.astype(np.int32), real))
-                    else:
-                        results.append(_result(raw, w, own, places, window, keep_text))
-                        waits.append((None,) * 8)
-            yield _batch(batch, carried, fields, results, waits, kinds)
+            yield from _first_pass(batch, at, carried, fields, window, keep_text)
+        give_back()
 
     out = materialise(marked.mapInArrow(first, ", ".join([*other, _RESULT_SQL, pending])), "rlz-parsed")
     looked = out.where("_window is not null").select("_id", "_th", F.explode(F.arrays_zip("_anchor", "_window", "_k", "_at")).alias("x")).select("_id", "_th", "x.*")
@@ -231,20 +202,10 @@ def without_repeats(documents: DataFrame, *, key: str = "doc_id", text: str = "t
     waiting = waiting.join(hits, (F.col("_id") == F.col("_hit_id")) & (F.col("_th") == F.col("_hit_th")), "left").select(*[f"`{f.name}`" for f in fields], "_text", "_found", "_hits")
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("substring")
         for batch in batches:
-            names = batch.schema.names
-            found, hit = batch.column(names.index("_found")), batch.column(names.index("_hits"))
-            rows = []
-            for a, b, data, offsets in chunks(batch.column(names.index("_text"))):
-                w = words(data, offsets)
-                for d in range(b - a):
-                    own = w.of(d)
-                    places = np.full(max(0, own.stop - own.start - window + 1), -1, np.int64)
-                    for more in (hit[a + d].as_py(), found[a + d].as_py()):
-                        for mark in more or []:
-                            places[mark["k"]] = mark["at"]
-                    rows.append(_result(bytes(data[offsets[d] : offsets[d + 1]]), w, own, places, window, keep_text))
-            yield _batch(batch, range(len(fields)), fields, rows)
+            yield from _second_pass(batch, fields, window, keep_text)
+        give_back()
 
     final = done.unionByName(waiting.mapInArrow(second, ", ".join([*other, _RESULT_SQL])))
     return final if keep_text else final.drop("kept_text")
@@ -262,11 +223,88 @@ def _leading(raw: bytes) -> int:
     return len(raw) - len(raw.lstrip(b" \t\n\x0b\x0c\r"))
 
 
-def _batch(batch, carried, fields, results, waits=None, kinds=()) -> pa.RecordBatch:
+def _marked(column: pa.Array, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lists of (k, at) in rows a to b: offsets, and all k and at."""
+    part = column.slice(a, b - a)
+    return part.offsets.to_numpy(), part.values.field("k").to_numpy(), part.values.field("at").to_numpy()
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size, one range after the other."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+def _first_pass(batch: pa.RecordBatch, at: int, carried: list[int], fields: list, window: int, keep_text: bool) -> Iterator[pa.RecordBatch]:
+    """Documents with their marks -> results, and what those that wait need; a chunk of texts at a time, as lists of
+    places take many times the memory of the texts."""
+    names = batch.schema.names
+    ids, hashes = batch.column(names.index("_id")), batch.column(names.index("_th"))
+    for a, b, data, offsets in chunks(batch.column(at)):
+        w = words(data, offsets)
+        doc, begin, size, anchor, _ = phrases(w, window)
+        edges = np.searchsorted(doc, np.arange(b - a + 1))
+        found_edges, found_k, found_at = _marked(batch.column(names.index("_mark_found")), a, b)
+        look_edges, look_k, look_at = _marked(batch.column(names.index("_mark_lookup")), a, b)
+        results: list[tuple] = []
+        waits: list[tuple | None] = []
+        for d in range(b - a):
+            own = w.of(d)
+            n = own.stop - own.start
+            places = np.full(max(0, n - window + 1), -1, np.int64)
+            yes = slice(found_edges[d], found_edges[d + 1])
+            if yes.stop > yes.start:
+                # Of two places of one phrase the lesser is written last, and stays.
+                order = np.lexsort((-found_at[yes], found_k[yes]))
+                x = edges[d] + found_k[yes][order]
+                places[_ranges(begin[x] - own.start, size[x])] = _ranges(found_at[yes][order], size[x])
+            raw = bytes(data[offsets[d] : offsets[d + 1]])
+            look = slice(look_edges[d], look_edges[d + 1])
+            if look.stop > look.start:
+                # A repeated row has each of its phrases at two places; one of them is looked up.
+                k, one = np.unique(look_k[look], return_index=True)
+                pick = edges[d] + k
+                looked = _ranges(begin[pick] - own.start, size[pick])
+                real = _ranges(look_at[look][one], size[pick])
+                hashed = run_hashes(w.hash[own], window, _WINDOW_BASE)[looked]
+                known = np.flatnonzero(places >= 0)
+                results.append((n,) + (None,) * (len(_RESULT) - 1))
+                waits.append((ids[a + d].as_py(), hashes[a + d].as_py(), raw.decode(), known, places[known], np.repeat(anchor[pick], size[pick]).view(np.int64), hashed.view(np.int64), looked, real))
+            else:
+                results.append(_result(raw, w, own, places, window, keep_text))
+                waits.append(None)
+        yield _batch(batch.slice(a, b - a), carried, fields, results, waits)
+
+
+def _second_pass(batch: pa.RecordBatch, fields: list, window: int, keep_text: bool) -> Iterator[pa.RecordBatch]:
+    """Documents that waited, with the places of their windows -> results, a chunk of texts at a time."""
+    names = batch.schema.names
+    for a, b, data, offsets in chunks(batch.column(names.index("_text"))):
+        w = words(data, offsets)
+        marks = [_marked(batch.column(names.index(c)), a, b) for c in ("_hits", "_found")]
+        rows = []
+        for d in range(b - a):
+            own = w.of(d)
+            places = np.full(max(0, own.stop - own.start - window + 1), -1, np.int64)
+            for edges, k, at in marks:
+                places[k[edges[d] : edges[d + 1]]] = at[edges[d] : edges[d + 1]]
+            rows.append(_result(bytes(data[offsets[d] : offsets[d + 1]]), w, own, places, window, keep_text))
+        yield _batch(batch.slice(a, b - a), range(len(fields)), fields, rows)
+
+
+def _batch(batch, carried, fields, results, waits=None) -> pa.RecordBatch:
     columns = [batch.column(i) for i in carried]
     columns += [pa.array([r[i] for r in results], t) for i, (_, t) in enumerate(_RESULT)]
     names = [*(f.name for f in fields), *(n for n, _ in _RESULT)]
     if waits is not None:
-        columns += [pa.array([r[i] for r in waits], t) for i, t in enumerate(kinds)]
+        columns += [pa.array([r and r[i] for r in waits], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string()))]
+        none = pa.array([r is None for r in waits])
+
+        def lists(i: int, t: pa.DataType, *more: int) -> pa.Array:
+            edges = np.cumsum([0, *(0 if r is None else len(r[i]) for r in waits)]).astype(np.int32)
+            values = [pa.array(np.concatenate([np.zeros(0, np.int64), *(r[j] for r in waits if r is not None)]), pa.int64()) for j in (i, *more)]
+            values[0] = values[0].cast(t)
+            return pa.ListArray.from_arrays(edges, pa.StructArray.from_arrays(values, ["k", "at"]) if more else values[0], mask=none)
+
+        columns += [lists(3, pa.int32(), 4), lists(5, pa.int64()), lists(6, pa.int64()), lists(7, pa.int32()), lists(8, pa.int64())]
         names += ["_id", "_th", "_text", "_found", "_anchor", "_window", "_k", "_at"]
     return pa.RecordBatch.from_arrays(columns, names)

@@ -95,6 +95,42 @@ def test_substring_long_document(monkeypatch):
         assert a.tolist() == b.tolist()
 
 
+def test_substring_passes_in_chunks(monkeypatch):
+    """A batch of many texts is parsed a few at a time: what a pass holds at once does not grow with the batch."""
+    import pyarrow as pa
+
+    from quadrille.llm import text as texts
+
+    monkeypatch.setattr(texts, "CHUNK_BYTES", 2000)
+    rows = [None if i % 7 == 0 else numbers(i, i + 60 + i % 5) for i in range(100)]
+    ids = pa.array(range(100), pa.int64())
+    mark = pa.list_(pa.struct([("k", pa.int32()), ("at", pa.int64())]))
+    # Every third text has its first phrase at two places, every fourth has it looked up; two rows repeat each other.
+    found = pa.array([[{"k": 0, "at": 900 + i}, {"k": 0, "at": 500 + i}] if i % 3 == 0 and rows[i] else None for i in range(100)], mark)
+    lookup = pa.array([[{"k": 0, "at": 700 + i}, {"k": 0, "at": 300 + i}] if i % 4 == 0 and rows[i] else None for i in range(100)], mark)
+    names = ["doc_id", "text", "_id", "_th", "_mark_found", "_mark_lookup"]
+    batch = pa.RecordBatch.from_arrays([ids, pa.array(rows), ids, ids, found, lookup], names)
+    fields = [type("Field", (), {"name": "doc_id"})]
+    parts = list(substring._first_pass(batch, 1, [0], fields, 35, False))
+    assert len(parts) >= 10 and max(p.num_rows for p in parts) <= 12
+    out = [r for p in parts for r in p.to_pylist()]
+    assert [r["doc_id"] for r in out] == list(range(100))
+    for i, r in enumerate(out):
+        assert r["n_words"] == len((rows[i] or "").split())
+        waits = i % 4 == 0 and rows[i] is not None
+        assert (r["_window"] is not None) == (r["_text"] is not None) == (r["kept_sha256"] is None) == waits
+        if waits:
+            assert r["_k"] == list(range(len(r["_k"]))) and [x - r["_at"][0] for x in r["_at"]] == r["_k"] and r["_at"][0] in (300 + i, 700 + i)
+            assert [x["at"] - x["k"] for x in r["_found"]] == [500 + i] * len(r["_found"]) and bool(r["_found"]) == (i % 3 == 0)
+        elif i % 3 == 0 and rows[i]:
+            assert r["n_removed"] >= 35 and r["factors"][0]["position"] == 500 + i
+        else:
+            assert r["n_removed"] == 0 and r["factors"] == []
+    waiting = pa.RecordBatch.from_arrays([ids, pa.array(rows), found.slice(0), lookup], ["doc_id", "_text", "_found", "_hits"])
+    parts = list(substring._second_pass(waiting, fields, 35, False))
+    assert len(parts) >= 10 and sum(p.num_rows for p in parts) == 100
+
+
 def test_decontaminate(spark, docs, rows):
     items = spark.createDataFrame([(1, numbers(20, 30)), (2, "OK, Fine"), (3, None), (4, "..."), (5, numbers(20, 30)), (None, "x")], "item_id long, text string")
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
