@@ -21,6 +21,8 @@ their text. An empty table gives no rows. Columns that bear the names of the res
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,10 @@ FEW, SPARSE = (8, 14), (14, 24)
 NODE_ROWS = 32
 #: Lines of a group, about, that tell which of its shingles are common. The choice changes the work, not the result.
 SAMPLE_LINES = 32
+#: Rows beyond which a line's copies are left out before keys are dealt out.
+COMMON_ROWS = 1000
+#: 64-bit words of a line's bitmap, and tokens before a shared one that are looked at. These, too, change only the work.
+BITMAP, BEFORE = 8, 8
 
 
 def _runs(line: Column, by=F.xxhash64) -> Column:
@@ -98,13 +104,21 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return sets.where(F.col("_n") >= threshold * (F.col("xn") + F.col("yn") - F.col("_n")) - 1e-9).select("a", "b")
 
 
+def _bitmaps(sets: DataFrame) -> DataFrame:
+    """sets: lines (g, a) and their shingles s -> a bitmap m0, m1 ... each: a bit is the parity of the shingles that fall on it."""
+    t = sets.select("g", "a", F.explode("s").alias("t"))
+    word, bit = F.pmod(F.shiftright("t", 6), F.lit(BITMAP)), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("t").bitwiseAND(63).cast("int"))
+    return t.groupBy("g", "a").agg(*(F.coalesce(F.bit_xor(F.when(word == j, bit)), F.lit(0).cast("long")).alias(f"m{j}") for j in range(BITMAP)))
+
+
 def _linked(dealt: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """dealt: lines (g, u, c, line) of groups g, joined as far as c says -> edges (a, b) of all pairs of a group that reach the threshold and lie in two c, one of them outside the largest.
 
     Pairs are found by their prefixes. Let all lines of a group order their shingles alike: two lines that reach the threshold have
     so many in common that the first of these stands early in both, so only lines that share an early shingle are verified.
     Whichever the order, no pair is lost; shingles that a sample of the group shares are put last, so that lines which
-    have much of their own begin with it and meet nobody.
+    have much of their own begin with it and meet nobody. Of lines that meet, those whose bitmaps tell that too many shingles
+    differ are not verified.
     """
     parts = materialise(dealt.groupBy("g", "c").agg(F.count("*").alias("n")), "line-parts")
     whole = parts.groupBy("g").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("all")).where("top.n < all").select("g", F.col("top.c").alias("top"), "all")
@@ -117,13 +131,21 @@ def _linked(dealt: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     common = materialise(common.groupBy("g").agg(F.collect_list("t").alias("often")), "line-common")
     x = sets.join(common, "g", "left").withColumn("often", F.coalesce("often", F.array().cast("array<bigint>")))
     x = x.withColumn("s", F.concat(F.sort_array(F.array_except("s", "often")), F.sort_array(F.array_intersect("s", "often")))).withColumn("n", F.size("s"))
+    x = materialise(x.select("g", "a", "c", "main", "s", "n"), "line-sorted")
     early = F.slice("s", F.lit(1), (F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1).cast("int"))
-    x = materialise(x.select("g", "a", "c", "main", "n", F.posexplode(early).alias("at", "t")), "line-prefixes")
+    x = x.withColumn("early", F.transform(early, lambda t, i: F.struct(i.alias("at"), t.alias("t"), F.slice("s", F.greatest(F.lit(1), i + 1 - BEFORE), F.least(i, F.lit(BEFORE))).alias("before"))))
+    x = x.select("g", "a", "c", "main", "n", F.inline("early")).join(_bitmaps(sets), ["g", "a"])
+    x = materialise(x, "line-prefixes")
     p, q = x.where("NOT main").alias("p"), x.alias("q")
-    # Of a pair's shared shingles, the first leaves no more to share than what stands from it on.
+    # Of a pair's shared shingles, the first leaves no more to share than what stands from it on. The others need not lead to
+    # the pair: all but few of them are known by a shared one shortly before.
     left = F.least(F.col("p.n") - F.col("p.at"), F.col("q.n") - F.col("q.at"))
     enough = left * (1 + threshold) >= threshold * (F.col("p.n") + F.col("q.n")) - 1e-6
-    pairs = p.join(q, (F.col("p.g") == F.col("q.g")) & (F.col("p.t") == F.col("q.t")) & (F.col("p.c") != F.col("q.c")) & (F.col("q.main") | (F.col("p.a") < F.col("q.a"))) & enough)
+    leads = ~F.arrays_overlap("p.before", "q.before")
+    # Bits that differ are no more than shingles that do.
+    apart = reduce(lambda m, n: m + n, (F.bit_count(F.col(f"p.m{j}").bitwiseXOR(F.col(f"q.m{j}"))) for j in range(BITMAP)))
+    near = apart * (1 + threshold) <= (1 - threshold) * (F.col("p.n") + F.col("q.n")) + 1e-6
+    pairs = p.join(q, (F.col("p.g") == F.col("q.g")) & (F.col("p.t") == F.col("q.t")) & (F.col("p.c") != F.col("q.c")) & (F.col("q.main") | (F.col("p.a") < F.col("q.a"))) & enough & near & leads)
     pairs = materialise(pairs.select(F.col("p.a").alias("x"), F.col("q.a").alias("y")).distinct(), "line-met")
     return materialise(_verified(pairs, texts, threshold), "line-links")
 
@@ -134,6 +156,14 @@ def _lines(documents: DataFrame, key: str, text: str) -> DataFrame:
     return rows.withColumns({"a": F.xxhash64("line"), "b": F.xxhash64(F.lit(1), "line")})
 
 
+def _among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose a is one of `wanted`, and about an eighth of the others: a broadcast bitmap of the hashes, about one word to
+    eight of them, keeps most texts from being dealt out."""
+    at, bit = F.pmod(F.shiftright("a", 6), F.lit(max(1, wanted.count() // 8))), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("a").bitwiseAND(63).cast("int"))
+    bits = wanted.groupBy(at.alias("_at")).agg(F.bit_or(bit).alias("_bits"))
+    return rows.join(F.broadcast(bits), at == F.col("_at")).where(F.col("_bits").bitwiseAND(bit) != 0).drop("_at", "_bits")
+
+
 def line_classes(documents: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """All lines (id, th, at, a, b) and the distinct ones: a, b (hashes), first (where it stands first: id, th, at), n
     (how often), root (a, b and first place of its component's first line).
@@ -142,14 +172,17 @@ def line_classes(documents: DataFrame, *, key: str = "doc_id", text: str = "text
     signed = materialise(with_bands(rows).select("id", "th", "at", "a", "b", "keys"), "line-rows")
     # A line with signatures of both kinds has two rows.
     lines = materialise(signed.groupBy("a", "b").agg(F.min(F.struct("id", "th", "at")).alias("first"), F.count("*").alias("n")), "line-distinct")
-    keys = signed.select("a", F.explode("keys").alias("k"))
+    # A line of very many copies gives its keys where it stands first.
+    often = lines.where(F.col("n") > COMMON_ROWS).select("a", "b", "first")
+    once = signed.join(F.broadcast(often), ["a", "b"], "left").where(F.col("first").isNull() | F.struct("id", "th", "at").eqNullSafe(F.col("first")))
+    # The keys are dealt out once, and read twice.
+    keys = once.select("a", F.explode("keys").alias("k")).repartition("k")
     # A bucket of more than one line has a least and a greatest hash; equal lines share theirs.
     shared = keys.groupBy("k").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low != high").select("k", "low")
-    shared = materialise(shared, "line-nodes")
-    members = materialise(keys.join(shared, "k").select("k", "low", "a").distinct(), "line-members")
+    members = materialise(keys.join(shared.hint("shuffle_hash"), "k").select("k", "low", "a").distinct(), "line-members")
     # The signatures have done their work; the lines' places stay.
     places = materialise(signed.select("id", "th", "at", "a", "b"), "line-places")
-    discard(signed, shared)
+    discard(signed)
     sizes = materialise(members.groupBy("k").agg(F.count("*").alias("m")).where(F.col("m") > NODE_ROWS).select("k"), "line-buckets")
     large = not sizes.isEmpty()
     small = members.join(sizes, "k", "left_anti") if large else members
@@ -163,7 +196,7 @@ def line_classes(documents: DataFrame, *, key: str = "doc_id", text: str = "text
     wanted = pairs.select(F.col("x").alias("a")).union(pairs.select(F.col("y").alias("a"))).distinct()
     # A line's text is taken where it stands first; a repeated document has that place twice.
     named = materialise(lines.join(wanted, "a", "left_semi").select("a", "b", "first"), "line-named")
-    texts = rows.join(named, ["a", "b"]).where(F.struct("id", "th", "at").eqNullSafe(F.col("first"))).select("a", F.struct("first", "a", "b").alias("u"), "line")
+    texts = _among(rows, named).join(named, ["a", "b"]).where(F.struct("id", "th", "at").eqNullSafe(F.col("first"))).select("a", F.struct("first", "a", "b").alias("u"), "line")
     texts = materialise(texts.dropDuplicates(["u"]).withColumn("n", F.size(shingles(F.col("line")))), "line-texts")
     edges = materialise(_verified(pairs, texts, threshold), "line-edges")
     if large:

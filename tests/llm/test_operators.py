@@ -417,6 +417,27 @@ def test_fuzzy_lines_groups_meet_by_prefixes(spark, monkeypatch):
     assert [label.get(i, i) for i in range(n)] == roots and compared[0] <= 60 * 59 // 2
 
 
+def test_fuzzy_lines_near_misses_are_not_verified(spark, monkeypatch):
+    """A family whose lines meet by common shingles though few are close: links are those of all pairs, and bitmaps spare most of the others."""
+    lines = _family(150, 5, 4)
+    roots, n = _line_roots(lines), len(lines)
+    rows = [(i, x, len({x[k : k + 8] for k in range(len(x) - 7)})) for i, x in enumerate(lines)]
+    u = lambda c: F.struct(F.struct(c.alias("id"), F.lit(0).cast("long").alias("th"), F.lit(0).alias("at")).alias("first"), c.alias("a"), c.alias("b"))
+    texts = spark.createDataFrame(rows, "a long, line string, n int").withColumn("u", u(F.col("a")))
+    dealt = texts.select(u(F.lit(0).cast("long")).alias("g"), "u", F.col("u").alias("c"), "line")
+    compared, verified = [], fuzzy_lines._verified
+
+    def counting(pairs, *others):
+        compared.append(pairs.count())
+        return verified(pairs, *others)
+
+    monkeypatch.setattr(fuzzy_lines, "_verified", counting)
+    edges = fuzzy_lines._linked(dealt, texts, 0.8)
+    links = edges.count()
+    label = {r["a"]: r["r"] for r in fuzzy_lines.components(edges).select("node.a", F.col("root.a").alias("r")).collect()}
+    assert [label.get(i, i) for i in range(n)] == roots and compared[0] <= 2 * links
+
+
 def test_fuzzy_lines_recall(spark):
     """Pairs just over the threshold share a band key, but for a few in a thousand."""
     rng = np.random.default_rng(4)
