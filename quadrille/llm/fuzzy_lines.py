@@ -31,6 +31,7 @@ from .runtime import components, discard, materialise
 
 SHINGLE, THRESHOLD = 8, 0.8
 BANDS, ROWS = 12, 4
+VISIBLE = r"[^\x20\x09-\x0D]"
 #: Words, and characters to each, at the two ends of the border between the kinds of signature.
 FEW, SPARSE = (8, 14), (14, 24)
 NODE_ROWS = 32
@@ -65,16 +66,19 @@ def _signed(x: int) -> int:
 
 
 def with_bands(lines: DataFrame, line: str = "line") -> DataFrame:
-    """Adds keys (one per band) in one row for each kind of signature that a line has.
+    """Adds kind and keys (one per band) in one row for each kind of signature that a line has.
 
     A signature of words needs FEW of them, one in SPARSE characters at least. Steps are columns of their own, which keeps
-    them in generated code.
+    them in generated code. Rows are doubled before the signatures are made, as those are far larger than a line's kinds.
     """
-    x = lines.withColumn("_w", F.split(F.col(line), " "))
-    m, size = F.size("_w"), F.length(line)
-    words = F.transform("_w", lambda w, i: F.xxhash64(F.left(w, F.lit(SHINGLE)), F.get("_w", i + 1)))
-    kinds = F.filter(F.array(F.when((m >= FEW[0]) & (m * SPARSE[1] >= size), words), F.when((m < FEW[1]) | (m * SPARSE[0] < size), _runs(F.col(line)))), lambda h: h.isNotNull())
-    x = x.withColumn("_r", F.explode(kinds)).drop("_w").withColumn("_r", F.sort_array(F.array_distinct("_r")))
+    x = lines.withColumns({"_m": F.octet_length(line) - F.octet_length(F.replace(F.col(line), F.lit(" "), F.lit(""))) + 1, "_n": F.length(line)})
+    m, size = F.col("_m"), F.col("_n")
+    many, few = (m >= FEW[0]) & (m * SPARSE[1] >= size), (m < FEW[1]) | (m * SPARSE[0] < size)
+    kinds = F.when(many & few, F.array(F.lit(0), F.lit(1))).when(many, F.array(F.lit(0))).when(few, F.array(F.lit(1)))
+    # Words are cut and hashed within one expression: as a column they would be copied from step to step.
+    words = let(F.split(F.col(line), " "), lambda ws: F.transform(ws, lambda w, i: F.xxhash64(F.left(w, F.lit(SHINGLE)), F.get(ws, i + 1))))
+    x = x.withColumn("kind", F.explode(kinds)).withColumn("_r", F.when(F.col("kind") == 0, words).otherwise(_runs(F.col(line)))).drop("_m", "_n")
+    x = x.withColumn("_r", F.sort_array(F.array_distinct("_r")))
     marks = [_signed(((2 * j + 1) << 63) // BANDS) for j in range(BANDS)]
     marks.sort()
     # Among the sorted hashes and points, a point's place tells how many hashes are less than it.
@@ -106,7 +110,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 
 def _bitmaps(sets: DataFrame) -> DataFrame:
     """sets: lines (g, a) and their shingles s -> a bitmap m0, m1 ... each: a bit is the parity of the shingles that fall on it."""
-    t = sets.select("g", "a", F.explode("s").alias("t"))
+    # Dealt out line by line: a large group's lines lie in few files.
+    t = sets.select("g", "a", "s").repartition("g", "a").select("g", "a", F.explode("s").alias("t"))
     word, bit = F.pmod(F.shiftright("t", 6), F.lit(BITMAP)), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("t").bitwiseAND(63).cast("int"))
     return t.groupBy("g", "a").agg(*(F.coalesce(F.bit_xor(F.when(word == j, bit)), F.lit(0).cast("long")).alias(f"m{j}") for j in range(BITMAP)))
 
@@ -132,9 +137,10 @@ def _linked(dealt: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     x = sets.join(common, "g", "left").withColumn("often", F.coalesce("often", F.array().cast("array<bigint>")))
     x = x.withColumn("s", F.concat(F.sort_array(F.array_except("s", "often")), F.sort_array(F.array_intersect("s", "often")))).withColumn("n", F.size("s"))
     x = materialise(x.select("g", "a", "c", "main", "s", "n"), "line-sorted")
+    x = x.repartition("g", "a").join(_bitmaps(sets), ["g", "a"])
     early = F.slice("s", F.lit(1), (F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1).cast("int"))
     x = x.withColumn("early", F.transform(early, lambda t, i: F.struct(i.alias("at"), t.alias("t"), F.slice("s", F.greatest(F.lit(1), i + 1 - BEFORE), F.least(i, F.lit(BEFORE))).alias("before"))))
-    x = x.select("g", "a", "c", "main", "n", F.inline("early")).join(_bitmaps(sets), ["g", "a"])
+    x = x.select("g", "a", "c", "main", "n", *(f"m{j}" for j in range(BITMAP)), F.inline("early"))
     x = materialise(x, "line-prefixes")
     p, q = x.where("NOT main").alias("p"), x.alias("q")
     # Of a pair's shared shingles, the first leaves no more to share than what stands from it on. The others need not lead to
@@ -151,8 +157,10 @@ def _linked(dealt: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def _lines(documents: DataFrame, key: str, text: str) -> DataFrame:
-    rows = documents.select(F.col(key).cast("long").alias("id"), F.xxhash64(key, text).alias("th"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("at", "line"))
-    rows = rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    # The text is hashed once, not for each of its lines.
+    rows = documents.select(F.col(key).cast("long").alias("id"), F.xxhash64(key, text).alias("th"), F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1).alias("line"))
+    rows = rows.select("id", "th", F.posexplode("line").alias("at", "line"))
+    rows = rows.where(F.col("line").rlike(VISIBLE))
     return rows.withColumns({"a": F.xxhash64("line"), "b": F.xxhash64(F.lit(1), "line")})
 
 
@@ -164,14 +172,15 @@ def _among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(bits), at == F.col("_at")).where(F.col("_bits").bitwiseAND(bit) != 0).drop("_at", "_bits")
 
 
-def line_classes(documents: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """All lines (id, th, at, a, b) and the distinct ones: a, b (hashes), first (where it stands first: id, th, at), n
-    (how often), root (a, b and first place of its component's first line).
+def line_classes(documents: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All lines (id, th, at, a, b; some twice), the distinct ones: a, b (hashes), first (where it stands first: id, th, at),
+    n (how often), and those that another line stands for: a, b, root (a, b and first place of that line).
     """
     rows = _lines(documents, key, text)
-    signed = materialise(with_bands(rows).select("id", "th", "at", "a", "b", "keys"), "line-rows")
+    signed = materialise(with_bands(rows).select("id", "th", "at", "a", "b", "kind", "keys"), "line-rows")
     # A line with signatures of both kinds has two rows.
-    lines = materialise(signed.groupBy("a", "b").agg(F.min(F.struct("id", "th", "at")).alias("first"), F.count("*").alias("n")), "line-distinct")
+    n = F.greatest(*(F.count_if(F.col("kind") == k) for k in (0, 1)))
+    lines = materialise(signed.groupBy("a", "b").agg(F.min(F.struct("id", "th", "at")).alias("first"), n.alias("n")), "line-distinct")
     # A line of very many copies gives its keys where it stands first.
     often = lines.where(F.col("n") > COMMON_ROWS).select("a", "b", "first")
     once = signed.join(F.broadcast(often), ["a", "b"], "left").where(F.col("first").isNull() | F.struct("id", "th", "at").eqNullSafe(F.col("first")))
@@ -194,41 +203,59 @@ def line_classes(documents: DataFrame, *, key: str = "doc_id", text: str = "text
     pairs = materialise(pairs.distinct(), "line-pairs")
     discard(members)
     wanted = pairs.select(F.col("x").alias("a")).union(pairs.select(F.col("y").alias("a"))).distinct()
-    # A line's text is taken where it stands first; a repeated document has that place twice.
-    named = materialise(lines.join(wanted, "a", "left_semi").select("a", "b", "first"), "line-named")
-    texts = _among(rows, named).join(named, ["a", "b"]).where(F.struct("id", "th", "at").eqNullSafe(F.col("first"))).select("a", F.struct("first", "a", "b").alias("u"), "line")
+    # A line's text is taken where it stands first; a repeated document has that place twice. Components are made of numbers, which
+    # are joined and grouped far faster than places.
+    named = materialise(lines.join(wanted, "a", "left_semi").select("a", "b", "first", F.monotonically_increasing_id().alias("u")), "line-named")
+    texts = _among(rows, named).join(named, ["a", "b"]).where(F.struct("id", "th", "at").eqNullSafe(F.col("first"))).select("a", "u", "line")
     texts = materialise(texts.dropDuplicates(["u"]).withColumn("n", F.size(shingles(F.col("line")))), "line-texts")
-    edges = materialise(_verified(pairs, texts, threshold), "line-edges")
+    near = components(materialise(_verified(pairs, texts, threshold), "line-edges"))
     if large:
+        near = materialise(near, "line-near")
         nodes = texts.select("a", "u")
         both = big.select("low", "a").distinct().join(nodes, "a").join(nodes.select(F.col("a").alias("low"), F.col("u").alias("l")), "low")
         groups = components(both.select(F.col("u").alias("a"), F.col("l").alias("b"))).select(F.col("node").alias("u"), F.col("root").alias("g"))
-        near = components(edges)
         dealt = groups.join(near, F.col("u") == F.col("node"), "left").select("g", "u", F.coalesce("root", "u").alias("c")).join(texts.select("u", "line"), "u")
-        edges = edges.union(_linked(materialise(dealt, "line-groups"), texts, threshold))
+        numbered = [x.withColumns({c: F.struct(F.col(c).alias("a")) for c in x.columns if c in ("u", "c")}) for x in (dealt, texts.withColumn("a", F.col("u")))]
+        links = _linked(materialise(numbered[0], "line-groups"), numbered[1], threshold)
+        near = components(near.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links.select("a.a", "b.a")))
         discard(big)
-    roots = materialise(components(edges).where("node != root").select(F.col("node.a").alias("a"), F.col("node.b").alias("b"), "root"), "line-roots")
+    near = materialise(near.join(named, F.col("node") == F.col("u")).select(F.col("root").alias("r"), F.struct("first", "a", "b").alias("own")), "line-joined")
+    roots = near.join(near.groupBy("r").agg(F.min("own").alias("root")), "r").where("own != root").select("own.a", "own.b", "root")
+    roots = materialise(roots, "line-roots")
     discard(texts, pairs)
-    found = lines.join(roots, ["a", "b"], "left").select("a", "b", "first", "n", F.coalesce("root", F.struct("first", "a", "b")).alias("root"))
-    return places, found
+    return places, lines, roots
+
+
+def _gone(documents: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
+    """The documents that lose lines: id and th (key and text hash) and the numbers of those that go."""
+    rows, lines, roots = line_classes(documents, key=key, text=text, threshold=threshold)
+    # Lines of one place that no other stands for stay, and most are such: only the others are dealt out.
+    again = lines.where("n > 1").join(roots, ["a", "b"], "left_anti").select("a", "b", "first")
+    goes = materialise(again.unionByName(roots.select("a", "b"), allowMissingColumns=True), "line-goes")
+    marked = _among(rows, goes).join(goes, ["a", "b"]).where(F.col("first").isNull() | ~F.struct("id", "th", "at").eqNullSafe(F.col("first")))
+    return marked.groupBy("id", "th").agg(F.collect_set("at").alias("gone"))
+
+
+def _n_lines(text: str) -> Column:
+    return F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda x: x.rlike(VISIBLE)))
 
 
 def without_fuzzy_lines(documents: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: id and th (key and text hash), n_lines with a visible character, and the numbers of those that go."""
-    rows, found = line_classes(documents, key=key, text=text, threshold=threshold)
-    stays = materialise(found.where("root.a = a AND root.b = b").select("a", "b", "first"), "line-stays")
-    place = F.struct("id", "th", "at")
-    marked = rows.join(stays, ["a", "b"], "left").select("id", "th", "at", F.coalesce(~place.eqNullSafe(F.col("first")), F.lit(True)).alias("goes"))
-    return marked.groupBy("id", "th").agg(F.size(F.collect_set("at")).alias("n_lines"), F.collect_set(F.when(F.col("goes"), F.col("at"))).alias("gone"))
+    gone = _gone(documents, key, text, threshold)
+    docs = documents.select(F.col(key).cast("long").alias("id"), F.xxhash64(key, text).alias("th"), _n_lines(text).alias("n_lines")).where("n_lines > 0").dropDuplicates(["id", "th"])
+    gone = gone.select(F.col("id").alias("_gid"), F.col("th").alias("_gth"), "gone")
+    return docs.join(gone, F.col("id").eqNullSafe(F.col("_gid")) & (F.col("th") == F.col("_gth")), "left").select("id", "th", "n_lines", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
 
 
 def deduplicated(documents: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, keep_text: bool = True) -> DataFrame:
     """The documents with n_lines, n_removed and, if wanted, the kept text; lines without a visible character stay."""
     docs = documents.drop("n_lines", "n_removed", "kept_text").withColumn("_th", F.xxhash64(key, text))
-    gone = materialise(without_fuzzy_lines(documents, key=key, text=text, threshold=threshold), "line-gone").select(F.col("id").alias("_gid"), F.col("th").alias("_gth"), F.col("n_lines").alias("_n"), F.col("gone").alias("_gone"))
+    gone = materialise(_gone(documents, key, text, threshold), "line-gone").select(F.col("id").alias("_gid"), F.col("th").alias("_gth"), F.col("gone").alias("_gone"))
+    docs = docs.withColumn("_n", _n_lines(text))
     base = docs if keep_text else docs.drop(text)
     out = base.join(gone, F.col(key).cast("long").eqNullSafe(F.col("_gid")) & (F.col("_th") == F.col("_gth")), "left")
-    out = out.withColumns({"n_lines": F.coalesce("_n", F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")})
+    out = out.withColumns({"n_lines": F.col("_n").cast("long"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")})
     if keep_text:
         kept = F.filter(F.split(F.col(text), "\n", -1), lambda x, i: F.coalesce(~F.array_contains("_gone", i), F.lit(True)))
         out = out.withColumn("kept_text", F.array_join(kept, "\n"))

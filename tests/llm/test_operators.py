@@ -438,6 +438,29 @@ def test_fuzzy_lines_near_misses_are_not_verified(spark, monkeypatch):
     assert [label.get(i, i) for i in range(n)] == roots and compared[0] <= 2 * links
 
 
+def test_fuzzy_lines_that_stay_are_not_dealt_out(spark, monkeypatch):
+    """Only documents that lose lines reach the last join, components are made of numbers, and the result is that of all pairs."""
+    lines = _family(60, 5, 3) + [f"a line of its own, number {i}, {'abcdefgh'[i % 8] * 9} and {i * i}" for i in range(60)]
+    rows = [(i, x + "\n \n" + ("copied in some documents" if i % 20 == 7 else f"{i}")) for i, x in enumerate(lines)] + [(200, None), (201, "")]
+    written, joined, write, join = {}, [], fuzzy_lines.materialise, fuzzy_lines.components
+    monkeypatch.setattr(fuzzy_lines, "materialise", lambda df, name: written.update({name: write(df, name)}) or written[name])
+    monkeypatch.setattr(fuzzy_lines, "components", lambda edges: joined.append(edges.dtypes) or join(edges))
+    found = {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in fuzzy_lines.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    roots = _line_roots(lines)
+    gone = {i: (roots[i] != i) + (i % 20 == 7 and i > 7) for i in range(len(lines))}
+    assert found == {i: (2, n) for i, n in gone.items()} | {200: (0, 0), 201: (0, 0)}
+    assert written["line-gone"].count() == sum(n > 0 for n in gone.values()) < 60
+    assert joined and all(kind == "bigint" for dtypes in joined for _, kind in dtypes)
+
+
+def test_fuzzy_lines_one_row_per_document(spark):
+    """Documents without lines have no row, repeated ones have one, and those that keep all lines have theirs."""
+    line = "a line of some length that stands in all of these"
+    rows = [(1, line + "\nx"), (1, line + "\nx"), (2, line + "\n\ny"), (3, None), (4, " \n"), (None, "z")]
+    found = fuzzy_lines.without_fuzzy_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["id"] or 0, r["n_lines"], r["gone"]) for r in found.collect()) == [(0, 1, []), (1, 2, []), (2, 2, [0])]
+
+
 def test_fuzzy_lines_recall(spark):
     """Pairs just over the threshold share a band key, but for a few in a thousand."""
     rng = np.random.default_rng(4)
