@@ -33,3 +33,18 @@ def test_negated_set_beside_patterns(store):
     assert rows(store, "SELECT ?a ?b { ?a :tag ?t . ?a !(:tag) ?b }") == [("a", "b"), ("b", "c")]
     assert rows(store, "SELECT ?a ?b { ?a :tag ?t . ?a !(^:p) ?b }") == [("a", "c")]
     assert rows(store, "SELECT ?a ?b { ?x :q ?a . ?a !(:tag) ?b }") == [("a", "b"), ("c", "a")]
+
+
+@pytest.mark.parametrize("name, own", [("path_star", "conversations")])
+def test_zero_length_steps_read_only_what_is_joined(spark, name, own):
+    text = plan(queries.QUERIES[name](spark, SF))
+    assert f"{own}.parquet" in text and "lineitem.parquet" not in text
+
+
+def test_zero_length_steps_beside_patterns(store):
+    assert rows(store, "SELECT ?a ?b { ?a :tag ?t ; :p? ?b }") == [("a", "a"), ("a", "b"), ("b", "b"), ("b", "c")]
+    assert rows(store, "SELECT ?a ?b { ?x :q ?b . ?a :p* ?b }") == [("a", "a"), ("a", "c"), ("b", "c"), ("c", "c")]
+    # A name that a sub-query keeps to itself says nothing of the path's end.
+    assert rows(store, "SELECT ?a ?b { ?a :q? ?b { SELECT ?t { ?a :tag ?t } } FILTER(?t = 1 && ?a = :x) }") == [("x", "c"), ("x", "x")]
+    # VALUES make no node: a path of no steps holds on nodes of the graph only.
+    assert rows(store, "SELECT ?a { VALUES ?a { :a :nowhere } ?a :p* ?a }") == [("a",)]
