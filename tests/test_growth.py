@@ -35,7 +35,7 @@ def test_negated_set_beside_patterns(store):
     assert rows(store, "SELECT ?a ?b { ?x :q ?a . ?a !(:tag) ?b }") == [("a", "b"), ("c", "a")]
 
 
-@pytest.mark.parametrize("name, own", [("path_star", "conversations")])
+@pytest.mark.parametrize("name, own", [("path_star", "conversations"), ("path_opt", "nation")])
 def test_zero_length_steps_read_only_what_is_joined(spark, name, own):
     text = plan(queries.QUERIES[name](spark, SF))
     assert f"{own}.parquet" in text and "lineitem.parquet" not in text
