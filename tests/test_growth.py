@@ -48,3 +48,22 @@ def test_zero_length_steps_beside_patterns(store):
     assert rows(store, "SELECT ?a ?b { ?a :q? ?b { SELECT ?t { ?a :tag ?t } } FILTER(?t = 1 && ?a = :x) }") == [("x", "c"), ("x", "x")]
     # VALUES make no node: a path of no steps holds on nodes of the graph only.
     assert rows(store, "SELECT ?a { VALUES ?a { :a :nowhere } ?a :p* ?a }") == [("a",)]
+
+
+def test_describe_looks_up_what_is_named(spark, monkeypatch):
+    from quadrille.sources.dataset import TableDataset
+
+    read, scan = [], TableDataset.scan
+    monkeypatch.setattr(TableDataset, "scan", lambda self, p=None, subject=None, like=None: read.append(subject) or scan(self, p, subject, like))
+    assert queries.QUERIES["describe"](spark, SF).count() == 3
+    assert read == ["urn:t/region/1"]
+
+
+def test_describe_named_and_found(spark):
+    s = Store(spark)
+    s.update("PREFIX : <urn:> INSERT DATA { :a :p _:x . _:x :p _:y . _:y :q 1 . :b :p :a . :c :p 3 . _:z :p 4 }")
+    found = lambda text: sorted(x[2] for x in s.query("PREFIX : <urn:> DESCRIBE " + text).decode().collect() if x[2].isdigit() or x[2] == "urn:a")
+    assert found(":a") == ["1"]
+    assert found(":a :c :a :none") == ["1", "3"]
+    assert found(":a ?x { ?x :p :a }") == ["1", "urn:a"]
+    assert found(":none") == []
