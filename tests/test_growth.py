@@ -67,3 +67,28 @@ def test_describe_named_and_found(spark):
     assert found(":a :c :a :none") == ["1", "3"]
     assert found(":a ?x { ?x :p :a }") == ["1", "urn:a"]
     assert found(":none") == []
+
+
+def test_comparing_exists_joins_extremes_only(spark):
+    """All suppliers beside all customers, or those of a nation, need not meet."""
+    for name, least in (("exists_correlated", 1), ("exists_nested", 1)):
+        assert plan(queries.QUERIES[name](spark, SF)).split("== Physical Plan ==")[1].count("max_by") >= least
+
+
+MIXED = """PREFIX : <urn:> PREFIX xsd: <http://www.w3.org/2001/XMLSchema#> INSERT DATA {
+  :a :l 1, 2.5, 1e1, 'NaN'^^xsd:double, 'x'^^xsd:integer, 'b', 'b'@en, true, :a, '2020-01-02'^^xsd:date, '2020-01-01T10:00:00Z'^^xsd:dateTime, 'bad'^^xsd:dateTime .
+  :b :l 'INF'^^xsd:float, 0.00000000000000000001, 'a'^^:t, '2021-01-01T00:00:00+14:00'^^xsd:dateTime . :c :l -1, '1'^^:t .
+  :d :r 2, 1.5, 1e0, 'NaN'^^xsd:double, 'c', 'a'@en, false, :z, '2020-01-03'^^xsd:date, '2020-01-01T12:00:00Z'^^xsd:dateTime, '3bad'^^xsd:dateTime ; :of :a .
+  :e :r 0.0, 'b'^^:t, '2020-12-31T11:00:00Z'^^xsd:dateTime, '2020-12-31T23:00:00-05:00'^^xsd:dateTime ; :of :b . :f :r -2, 'zz' ; :of :c, :a }"""
+
+
+@pytest.mark.parametrize("condition", ["?r > ?l", "?l >= ?r", "?l * 2 >= ?r - 0.5 && isNUMERIC(?r)", "STR(?r) < STR(?l)"])
+def test_comparing_exists_equals_all_pairs(spark, monkeypatch, condition):
+    from quadrille.plans.compiler import PatternCompiler
+
+    s = Store(spark)
+    s.update(MIXED)
+    texts = [f"SELECT ?x ?l {{ ?x :l ?l FILTER {word} {{ ?y :r ?r {of} FILTER({condition}) }} }}" for word in ("NOT EXISTS",) for of in ("", "; :of ?x")]
+    few = [rows(s, x) for x in texts]
+    monkeypatch.setattr(PatternCompiler, "extremes", lambda *_: None)
+    assert few == [rows(s, x) for x in texts]
