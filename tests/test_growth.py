@@ -92,3 +92,16 @@ def test_comparing_exists_equals_all_pairs(spark, monkeypatch, condition):
     few = [rows(s, x) for x in texts]
     monkeypatch.setattr(PatternCompiler, "extremes", lambda *_: None)
     assert few == [rows(s, x) for x in texts]
+
+
+def test_many_quads_are_dealt_out_before_they_are_distinct(spark):
+    from quadrille.sources.dataset import DISTINCT_ROWS, distinct, table_dataset
+
+    data = table_dataset(spark, SF, ["nation", "region"])
+    assert data.most == 25 * 5 + 5 * 3
+    twice = data.quads.union(data.quads)
+    dealt = distinct(twice, 3 * DISTINCT_ROWS)
+    before = plan(dealt).split("== Physical Plan ==")[1]
+    # One shuffle into as many tasks as the rows ask for; no rows are held in a task before it.
+    assert before.count("Exchange") == 1 and "REPARTITION_BY_NUM" in before and before.index("REPARTITION_BY_NUM") > before.rindex("Aggregate")
+    assert dealt.count() == distinct(twice, None).count() == 25 * 5 + 5 * 3
